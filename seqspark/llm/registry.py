@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "bpe")
+MODULES = ("mixing", "bpe", "warc", "secrets")
 
 
 def _merged(name: str) -> dict:
