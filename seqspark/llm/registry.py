@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "bpe", "warc", "secrets", "quality", "substring", "jaccard", "embeddings")
+MODULES = ("mixing", "bpe", "warc", "secrets", "quality", "substring", "jaccard", "embeddings", "ppm")
 
 
 def _merged(name: str) -> dict:
