@@ -58,7 +58,20 @@ def blacklisted_run(s: Column, longest: dict[str, int] = LONGEST_RUNS, edge: int
     return inside.rlike("|".join(f"{c}{{{n + 1},}}" for c, n in longest.items()))
 
 
-def verdict(s: Column, window: int = 20, low: float = 0.15, high: float = 0.90) -> Column:
-    """All rules at once: composition of every window, runs, slippage at the start."""
-    shares = S.window_shares(s, window, last=True)
-    return ~F.exists(shares, lambda x: ~x.between(low, high)) & ~blacklisted_run(s) & ~terminal_slippage(s)
+def composition_passes(s: Column, window: int, low: float, high: float) -> Column:
+    """The share of G and C of every window lies strictly between the bounds; strings shorter than a window pass."""
+    return ~F.exists(S.window_shares(s, window, last=True), lambda x: (x <= low) | (x >= high))
+
+
+# Window, least and most share of G and C, and the same for the first and last letters of longer sequences.
+WINDOWS, ENDS = ((20, 0.15, 0.90), (100, 0.28, 0.76)), (60, 30, 0.24, 0.76)
+
+
+def verdict(s: Column) -> Column:
+    """All rules at once: composition of every window and of both ends, runs, slippage at the start."""
+    ok = ~blacklisted_run(s) & ~terminal_slippage(s)
+    for window, low, high in WINDOWS:
+        ok = ok & composition_passes(s, window, low, high)
+    longer, n, low, high = ENDS
+    ends = composition_passes(F.left(s, F.lit(n)), n, low, high) & composition_passes(F.right(s, F.lit(n)), n, low, high)
+    return ok & ((F.length(s) <= longer) | ends)

@@ -199,7 +199,7 @@ def r05(t):
     return h.select("p_partkey", F.size("h").cast("long").alias("n"))
 
 
-@query("r06_verdict", f"WITH {PART} SELECT p_partkey, NOT list_bool_or([NOT (length(regexp_replace(substr(s, i, 20), '[^GC]', '', 'g')) / 20.0 BETWEEN 0.15 AND 0.9) for i in range(1, 14)]) AND NOT regexp_matches(substr(s, 2, 30), 'A{{13,}}|C{{9,}}|G{{9,}}|T{{13,}}') AND len(list_filter(range(1, 12), lambda i: contains(substr(left(s, 15), i + 5, 15), substr(s, i, 5)) OR contains(substr(left(s, 15), i + 5, 15), {REV.format('substr(s, i, 5)')}))) = 0 AS passes FROM d")
+@query("r06_verdict", f"WITH {PART} SELECT p_partkey, NOT list_bool_or([NOT (length(regexp_replace(substr(s, i, 20), '[^GC]', '', 'g')) / 20.0 > 0.15 AND length(regexp_replace(substr(s, i, 20), '[^GC]', '', 'g')) / 20.0 < 0.9) for i in range(1, 14)]) AND NOT regexp_matches(substr(s, 2, 30), 'A{{13,}}|C{{9,}}|G{{9,}}|T{{13,}}') AND len(list_filter(range(1, 12), lambda i: contains(substr(left(s, 15), i + 5, 15), substr(s, i, 5)) OR contains(substr(left(s, 15), i + 5, 15), {REV.format('substr(s, i, 5)')}))) = 0 AS passes FROM d")
 def r06(t):
     return dna(t).select("p_partkey", rules.verdict(F.col("s")).alias("passes"))
 

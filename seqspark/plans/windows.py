@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..operators import rules
 from ..operators import windows as N
 from .base import Group
 
@@ -65,9 +66,9 @@ def n05(t):
     return rows.select("p_partkey", F.round(F.array_max(means), 6).alias("densest"))
 
 
-@query("n06_windowed_bound", _WINDOWS + " SELECT p_partkey, bool_and(gc BETWEEN 0.3 AND 0.7) AS passes FROM w GROUP BY 1")
+@query("n06_windowed_bound", _WINDOWS.replace("range(1, 13)", "range(1, 14)") + " SELECT p_partkey, bool_and(gc > 0.3 AND gc < 0.7) AS passes FROM w GROUP BY 1")
 def n06(t):
-    return dna(t).select("p_partkey", (~F.exists(S.window_shares(F.col("s"), 20), lambda x: ~x.between(0.3, 0.7))).alias("passes"))
+    return dna(t).select("p_partkey", rules.composition_passes(F.col("s"), 20, 0.3, 0.7).alias("passes"))
 
 
 _SCAN = """WITH c AS (SELECT l_returnflag, l_linestatus, l_linenumber, w.k, w.v, abs(l_quantity - w.v * l_linenumber) AS score FROM lineitem, (VALUES (1, 3.0), (2, 5.0), (3, 7.5)) w(k, v))
