@@ -9,8 +9,8 @@ from .common import settle, table, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Buckets by hash within a step of size; with them no group that is ranked holds more than a small share of a source.
-HASH_BUCKETS = 1024
+#: Hexadecimal digits of the hash that part a step of size into buckets; no group that is ranked holds more than a small share of a source.
+BUCKET_DIGITS = 3
 OFFSET_SEED = 20240607
 
 
@@ -48,12 +48,14 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     copies of documents of size 0 take no words. Same rows, same seed: same result.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    step = F.floor(F.log2(F.col("size") + 1) * 4).cast("int")
-    spread = F.xxhash64("doc_id", F.lit(seed))
-    rows = settle(rows.withColumn("step", step).withColumn("h", spread).withColumn("bucket", F.pmod("h", F.lit(HASH_BUCKETS)).cast("int")), "mix")
+    bits = F.length(F.bin(F.col("size") + 1))
+    quarter = F.expr("shiftright((size + 1) * 4, length(bin(size + 1)) - 1)")  # 4 to 7: where size + 1 lies between two powers of 2
+    spread = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    rows = rows.withColumn("step", (bits * 4 + quarter).cast("int")).withColumn("h", spread).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    rows = settle(rows, "mix")
     key = ["source", "step", "bucket"]
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    # One row for each source, step and bucket: at most 64 * HASH_BUCKETS rows of a source meet here.
+    # One row for each source, step and bucket: at most about 256 * 4096 narrow rows of a source meet here.
     ahead = Window.partitionBy("source").orderBy("step", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = settle(counts.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))), "mix")
     targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
@@ -62,7 +64,8 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     both = local.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.step") == F.col("p.step")) & (F.col("r.bucket") == F.col("p.bucket")))
     rate = F.when(F.col("p.source_size") > 0, F.col("p.target") / F.col("p.source_size")).otherwise(F.lit(0.0))
     place = F.col("p.before") + F.col("r.rank")
-    offset = F.pmod(F.xxhash64(F.col("r.source"), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    mark = F.md5(F.concat(F.coalesce(F.col("r.source"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    offset = F.conv(F.substring(mark, 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
     crossed = F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)
     return both.select("r.doc_id", "r.source", "r.size", "p.source_size", "p.target", F.least(F.lit(most), crossed).cast("long").alias("copies"))
 
@@ -72,5 +75,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+ORACLE_SQL = rf"""
+WITH r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+h AS (SELECT *, length(bin(size + 1)) * 4 + (((size + 1) * 4) >> (length(bin(size + 1)) - 1)) AS step, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{OFFSET_SEED}') AS h FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY step, h, doc_id, size) AS place FROM h),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM s),
+b AS (SELECT *, [{", ".join(f"{float(x)}::DOUBLE" for x in WEIGHTS)}][((k - 1) % {len(WEIGHTS)} + 1)::INT] AS weight, (source_size * {MOST})::DOUBLE AS bound FROM w),
+l AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(bound) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM b WINDOW o AS (ORDER BY bound / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT arg_min(level, (bound / weight, k)) AS level FROM l WHERE bound >= level * weight),
+t AS (SELECT source, source_size, least(bound, coalesce(f.level * weight, bound)) AS target FROM l, f),
+e AS (SELECT p.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate, ('0x' || substr(md5(coalesce(p.source, '') || ':{OFFSET_SEED}'), 1, 5))::BIGINT / 1048576.0::DOUBLE AS u FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (least({MOST}, floor(place * rate + u) - floor((place - 1) * rate + u)) * size)::BIGINT AS taken FROM e"""
+
 QUERIES = {"op7_mixing": op7_mixing}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op7_mixing": ORACLE_SQL}
