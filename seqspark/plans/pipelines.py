@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import learning, reads, statistics
+from ..operators import folding, learning, reads, search, statistics
 from ..streaming import counts as ST
 from .base import Group
 
@@ -102,4 +102,38 @@ def l12(t):
     return scores.crossJoin(statistics.roc(p, "chance", F.col("quality") == 1))
 
 
+def dna(t):
+    return t.part.select("p_partkey", S.derived_dna(F.col("p_partkey")).alias("Variant"))
+
+
+@query("n08_windowed_folding")
+def n08(t):
+    folds = folding.folded(dna(t), "p_partkey", "Variant", window=20, step=4)
+    return folding.hairpin_flags(folds, "p_partkey", stems=(3, 5, 7), energies=(-8.0, -12.0, -16.0))
+
+
+@query("d02_primers")
+def d02(t):
+    return search.primers(t.spark, "N" * 20, (45.0, 60.0), ["GAATTC", "GGTCTC"])
+
+
+@query("d09_design")
+def d09(t):
+    spec = {"variants": {}, "motifs": {"motif": "GAATTC"}, "primers": {"constraint": "N" * 20, "melting": (40.0, 65.0)}, "spacers": {"limit": 80, "excluded": ["GAATTC"]}, "split": {"size": 50, "overlap": 20}, "pad": {"left": "GGTCTC", "right": "GAGACC", "size": 70}}
+    df, _ = search.design_table(dna(t), "p_partkey", spec)
+    return df.select("p_partkey", "Oligo", "OligoLength", F.transform("Fragments", lambda x: x["piece"]).alias("pieces"), "Padded")
+
+
+@query("d12_evolved_arrays")
+def d12(t):
+    best = search.evolve(t.spark, lambda g: (float(sum(g)), float(-len(set(g)))), 6, 8, size=10, rounds=3)
+    return t.spark.createDataFrame([(g, list(v)) for g, v in best], "genes array<int>, objectives array<double>")
+
+
+@query("l05_permutation_importance")
+def l05(t):
+    f = features(t)
+    return t.spark.createDataFrame(learning.permutation_importance(learning.forest(f, _NAMES, "quality", 5, 4), f, _NAMES, "quality"), "feature string, loss double")
+
+
 QUERIES, ORACLE = group.queries, group.sql
