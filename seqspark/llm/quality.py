@@ -22,7 +22,9 @@ CHARACTER_CLASSES = (("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+
 
 #: (words at least, characters and common words at most this far from the reference): Jensen-Shannon distances with base 2, from 0
 #: to 1. A histogram of few words strays by chance, so shorter documents get more room, and the shortest aren't judged.
-GUARDS = ((50, 0.32, 1.0), (300, 0.25, 0.345))
+GUARDS = ((50, 0.32, 1.0), (400, 0.25, 0.345))
+#: The same, for documents that are beyond both distances at once.
+BOTH = (100, 0.17, 0.34)
 PUNCTUATION = ".,;:!?"
 
 
@@ -96,12 +98,12 @@ def references(rows: DataFrame, lang: str = "lang") -> DataFrame:
     return both.select("ref_lang", F.array(*[f"c{i}" for i in range(n_chars)]).alias("ref_chars"), F.array(*[f"w{i}" for i in range(n_words)]).alias("ref_commons"))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least_words: int = LEAST_WORDS, guards: tuple = GUARDS) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least_words: int = LEAST_WORDS, guards: tuple = GUARDS, both: tuple = BOTH) -> DataFrame:
     """One row for each row of docs: doc_id, lang, the base features, base_failed, char_distance, word_distance, kept.
 
     The reference of a language is the histogram over all its documents; documents without a language are held against all.
     A document is kept unless base_failed, or it has the words of a guard and lies further from its reference than the guard
-    allows. Null and empty texts fail the base; an empty table gives no rows; repeated rows are judged alike and each count
+    allows: by either distance, or for the last guard by both. Null and empty texts fail the base; an empty table gives no rows; repeated rows are judged alike and each count
     in the reference. Distances are null where there is nothing to compare, which is no reason to reject.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
@@ -113,6 +115,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     far = F.lit(False)
     for words, most_chars, most_words in guards:
         far = far | ((F.col("n_words") >= words) & ((F.coalesce("char_distance", F.lit(0.0)) > most_chars) | (F.coalesce("word_distance", F.lit(0.0)) > most_words)))
+    words, most_chars, most_words = both
+    far = far | ((F.col("n_words") >= words) & (F.coalesce("char_distance", F.lit(0.0)) > most_chars) & (F.coalesce("word_distance", F.lit(0.0)) > most_words))
     return near.withColumn("kept", ~F.col("base_failed") & ~far).drop("chars", "commons", "ref_chars", "ref_commons", "ref_lang")
 
 
@@ -139,6 +143,7 @@ def _sql() -> str:
         f"(CASE WHEN {b}[i] > 0 THEN {b}[i] / list_sum({b}) * log2({b}[i] / list_sum({b}) / (({a}[i] / list_sum({a}) + {b}[i] / list_sum({b})) / 2)) ELSE 0.0 END))) / 2)) END"
     )
     far = " OR ".join(f"(n_words >= {n} AND (coalesce(cd, 0) > {c} OR coalesce(wd, 0) > {w}))" for n, c, w in GUARDS)
+    far += f" OR (n_words >= {BOTH[0]} AND coalesce(cd, 0) > {BOTH[1]} AND coalesce(wd, 0) > {BOTH[2]})"
     sums = lambda e: ", ".join([f"sum(chars[{i}])" for i in range(1, n_chars + 1)]) if e == "c" else ", ".join(f"sum(commons[{i}])" for i in range(1, n_words + 1))
     return f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS body FROM documents),
