@@ -200,7 +200,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     shared = firsts.select("doc_id", F.explode("signatures").alias("signature"))
     star = shared.withColumn("a", F.min("doc_id").over(Window.partitionBy("signature"))).where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     groups = components(star, "groups")
-    texts = settle(rows.join(groups.withColumnRenamed("id", "doc_id"), "doc_id"), "jaccard")
+    # Merged at every size: the plan doesn't turn on whether the groups are few enough to broadcast.
+    texts = settle(rows.join(groups.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id"), "jaccard")
     sizes = texts.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("bytes"))
     sizes = settle(sizes.select("component", F.ceil(F.greatest(F.col("n") / block_docs, F.col("bytes") / block_bytes)).cast("int").alias("blocks")), "jaccard")
     placed = texts.join(sizes, "component")
