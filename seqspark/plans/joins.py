@@ -112,22 +112,22 @@ def j10(t):
     return fuzzy.best_match(asked, t.nation.select(n.alias("label"), n.alias("s")).distinct(), "c_custkey", "q", "label", "s", 2)
 
 
-_CODE = "substr(translate(md5(CAST(o_orderkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 16)"
-_HAMMING = f"WITH c AS (SELECT o_orderkey AS k, {_CODE} AS s FROM orders), e AS (SELECT k, s, i, CASE i WHEN 0 THEN substr(s, 1, 5) WHEN 1 THEN substr(s, 6, 5) ELSE substr(s, 11, 6) END AS p FROM (SELECT *, unnest(range(3)) AS i FROM c)), h AS (SELECT DISTINCT a.k AS a, b.k AS b, hamming(a.s, b.s) AS d FROM e a JOIN e b ON a.i = b.i AND a.p = b.p AND a.k < b.k WHERE hamming(a.s, b.s) <= 2)"
+_CODE = "substr(translate(md5(CAST(o_orderkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 12)"
+_HAMMING = f"WITH c AS (SELECT o_orderkey AS k, {_CODE} AS s FROM orders), e AS (SELECT k, s, i, substr(s, i * 6 + 1, 6) AS p FROM (SELECT *, unnest(range(2)) AS i FROM c)), h AS (SELECT DISTINCT a.k AS a, b.k AS b, hamming(a.s, b.s) AS d FROM e a JOIN e b ON a.i = b.i AND a.p = b.p AND a.k < b.k WHERE hamming(a.s, b.s) <= 1)"
 
 
 def codes(t):
-    return t.orders.select("o_orderkey", F.substring(S.derived_dna(F.col("o_orderkey")), 1, 16).alias("s"))
+    return t.orders.select("o_orderkey", F.substring(S.derived_dna(F.col("o_orderkey")), 1, 12).alias("s"))
 
 
 @query("j11_hamming_pairs", _HAMMING + " SELECT a, b, d::BIGINT AS distance FROM h")
 def j11(t):
-    return fuzzy.hamming_pairs(codes(t), "o_orderkey", "s", 16, 2)
+    return fuzzy.hamming_pairs(codes(t), "o_orderkey", "s", 12, 1)
 
 
 @query("a33_hamming_distribution", _HAMMING + ", m AS (SELECT k, min(d) AS d FROM (SELECT a AS k, d FROM h UNION ALL SELECT b, d FROM h) GROUP BY 1) SELECT d::BIGINT AS distance, count(*) AS n FROM m GROUP BY 1")
 def a33(t):
-    p = fuzzy.hamming_pairs(codes(t), "o_orderkey", "s", 16, 2)
+    p = fuzzy.hamming_pairs(codes(t), "o_orderkey", "s", 12, 1)
     least = p.select(F.col("a").alias("k"), "distance").unionByName(p.select(F.col("b").alias("k"), "distance")).groupBy("k").agg(F.min("distance").alias("distance"))
     return least.groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
 
