@@ -79,13 +79,17 @@ def histograms(rows: DataFrame, text: str = "text", common: dict = COMMON_WORDS)
     return out.drop("_c", "_w", "_joined", *[f"_l{k}" for k in range(len(CHARACTER_CLASSES) + 1)])
 
 
-def divergence(a: Column, b: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of counts; null if either has none."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
-    shares = F.zip_with(F.transform(a, lambda x: x / total(a)), F.transform(b, lambda x: x / total(b)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-    terms = F.transform(shares, lambda s: part(s["p"], (s["p"] + s["q"]) / 2) + part(s["q"], (s["p"] + s["q"]) / 2))
-    return F.when((total(a) > 0) & (total(b) > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms) / 2)))
+def total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda s, v: s + v)
+
+
+def divergence(p: Column, p_total: Column, q: Column, q_total: Column) -> Column:
+    """Jensen-Shannon distance of two arrays of counts, whose totals are given as columns so that they are added up once; null if
+    either has none."""
+    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+    both = lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2)
+    terms = F.zip_with(p, q, lambda x, y: both(x / p_total, y / q_total))
+    return F.when((p_total > 0) & (q_total > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms) / 2)))
 
 
 def references(rows: DataFrame, lang: str = "lang") -> DataFrame:
@@ -110,14 +114,17 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     counted = settle(histograms(base_features(rows)).drop("words", "text"), "quality")
     refs = settle(references(counted), "quality")
     near = counted.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    near = near.withColumn("char_distance", divergence(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", divergence(F.col("commons"), F.col("ref_commons")))
+    names = ("chars", "commons", "ref_chars", "ref_commons")
+    near = near.select("*", *[total(F.col(c)).alias(f"{c}_total") for c in names])
+    apart = lambda c: divergence(F.col(c), F.col(f"{c}_total"), F.col(f"ref_{c}"), F.col(f"ref_{c}_total"))
+    near = near.select("*", apart("chars").alias("char_distance"), apart("commons").alias("word_distance"))
     near = near.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     far = F.lit(False)
     for words, most_chars, most_words in guards:
         far = far | ((F.col("n_words") >= words) & ((F.coalesce("char_distance", F.lit(0.0)) > most_chars) | (F.coalesce("word_distance", F.lit(0.0)) > most_words)))
     words, most_chars, most_words = both
     far = far | ((F.col("n_words") >= words) & (F.coalesce("char_distance", F.lit(0.0)) > most_chars) & (F.coalesce("word_distance", F.lit(0.0)) > most_words))
-    return near.withColumn("kept", ~F.col("base_failed") & ~far).drop("chars", "commons", "ref_chars", "ref_commons", "ref_lang")
+    return near.withColumn("kept", ~F.col("base_failed") & ~far).drop("ref_lang", *names, *[f"{c}_total" for c in names])
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
