@@ -28,8 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/seqspark/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/seqspark/{tag}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what this driver's operators have written to the shared folder so far, and give the number of paths. To be called when
+    all results are written: data frames of operators read these files."""
+    n = len(_MADE)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def settle(df: DataFrame, tag: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqspark.llm import bpe, embeddings, jaccard, langid, mixing, ppm, quality, secrets, substring, warc
-from seqspark.llm.common import components
+from seqspark.llm.common import components, settle, sweep
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -71,6 +71,12 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_settled_tables_can_be_swept(spark):
+    df = settle(spark.range(5), "t")
+    assert df.count() == 5 and df.columns == ["id"]
+    assert sweep(spark) >= 1 and sweep(spark) == 0
+
+
 def test_quality_base_features(spark):
     got = {r["doc_id"]: r for r in quality.judge(odd(documents(spark))).collect()}
     for i, t in enumerate(texts()):
