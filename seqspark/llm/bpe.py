@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pieces, table
+from .common import keeps, only, pieces, table
 
 #: Words kept with their ids in a Python worker; beyond that the store is emptied and filled anew.
 MOST_WORDS = 400_000
@@ -165,6 +165,7 @@ class WordBpe:
 
 
 _LOADED: dict[str, WordBpe] = {}
+keeps("bpe", _LOADED.clear)
 
 
 def loaded(path: str) -> WordBpe:
@@ -183,6 +184,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
     hexed = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("bpe")
         bpe = loaded(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()

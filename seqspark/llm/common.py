@@ -63,6 +63,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
 
 
+_STORES: dict = {}
+
+
+def keeps(name: str, clear) -> None:
+    """Tell how to empty what an operator remembers in a Python worker."""
+    _STORES[name] = clear
+
+
+def only(name: str) -> None:
+    """Empty what other operators have left in this worker: workers are used again, and stores of a whole pipeline would add up."""
+    for other, clear in _STORES.items():
+        if other != name:
+            clear()
+
+
 def pieces(values: list, size: int = PIECE_BYTES):
     """Ranges of consecutive rows that hold about size bytes; a longer row stands alone."""
     at, held = 0, 0

@@ -6,6 +6,8 @@ from hashlib import blake2b
 
 import numpy as np
 
+from .common import keeps
+
 #: Words whose hashes a Python worker remembers; beyond that it forgets all and starts anew.
 MOST_KNOWN = 300_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -25,6 +27,7 @@ class WordHash(dict):
 
 
 KNOWN = WordHash()
+keeps("hashing", KNOWN.clear)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

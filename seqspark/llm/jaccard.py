@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, pieces, settle, table
+from .common import components, only, pieces, settle, table
 from .hashing import KNOWN, mixed, windows
 
 SHINGLE = 3
@@ -83,6 +83,7 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n, digest, signatures) for each row (doc_id, text); digest is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("hashing")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in pieces(texts):

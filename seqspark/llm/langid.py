@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import keeps, only, pieces, table
 
 UNKNOWN = "und"
 #: What the network is trained on: languages by documents, documents of each, words of each document spread over its whole text.
@@ -212,6 +212,7 @@ def trained(languages: list[str], words: list[tuple[str, bytes]], most: int = TR
 
 
 _READERS: dict = {}
+keeps("langid", _READERS.clear)
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", modulus: int = 4, held: int = 2, keep: list[str] | None = None) -> DataFrame:
@@ -231,6 +232,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     net = spark.sparkContext.broadcast((trained(languages, words), languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("langid")
         if _READERS.get("of") is not net.value:
             _READERS.clear()
             _READERS["of"], _READERS["reader"] = net.value, Reader(*net.value)

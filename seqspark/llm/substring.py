@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, settle, table
+from .common import only, pieces, settle, table
 from .hashing import KNOWN, sliding_least, windows
 
 WINDOW = 50
@@ -52,6 +52,7 @@ def graph(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, anchor, key): the paths of every document that has an id, each once a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("hashing")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in pieces(texts):
