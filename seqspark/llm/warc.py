@@ -211,10 +211,12 @@ def archive(pages: DataFrame, folder: str | None = None, least: int = 0) -> Data
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
     index = settle(write_monolithic(pages, f"{folder}/whole"), "warc")
-    files = settle(normalise(revisits(index, least), f"{folder}/whole", f"{folder}/members"), "warc")
+    n_files = max(1, index.select("file").distinct().count())
+    decided = revisits(index, least).repartition(n_files, "file")  # a number of its own: few bytes would else be put into one task
+    files = settle(normalise(decided, f"{folder}/whole", f"{folder}/members"), "warc")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/whole")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return read_archives(files.repartition(max(1, files.count()), "file"), f"{folder}/members")
+    return read_archives(files.repartition(n_files, "file"), f"{folder}/members")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,4 +224,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_warc": op2_warc}
-ORACLE: dict[str, str] = {}
+# Base 32 takes 5 bits a letter: 5 hexadecimal digits give 4 letters.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS h FROM p),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)) & 31)::INT + 1, 1)), '') AS payload_digest FROM h),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM f"""
+ORACLE = {"op2_warc": ORACLE_SQL}
