@@ -172,6 +172,36 @@ def test_ppm_scores(spark):
         assert r["score"] < 0
 
 
+def trained_trie(rows):
+    trie = ppm.Trie()
+    for t in rows:
+        data = ppm.framed(t.encode())
+        for i in range(ppm.ORDER, len(data)):
+            trie.learn(data[i - ppm.ORDER : i], data[i])
+    return trie
+
+
+def test_ppm_scores_equal_the_trie_beyond_what_is_held(spark):
+    rng = random.Random(4)
+    wide = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    rows = [wide(6000) for _ in range(12)] + [wide(50) + " the end" for _ in range(12)] + ["the of", "", "\u0416 the"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(rows))]
+    assert any(held[12:24])
+    trie = trained_trie([t for t, h in zip(rows, held, strict=True) if not h])
+    assert sum(len(c) == 3 for c in trie.after) > 1 << 15
+    want = [trie.code_length(t.encode(), adaptive=False) for t in rows]
+    got = {r["doc_id"]: r["score"] for r in ppm.score(documents(spark, rows), chunk_bytes=40_000).collect()}
+    assert [got[i] for i in range(len(rows))] == pytest.approx(want, rel=1e-5)
+
+
+@pytest.mark.parametrize("most", [0, 1, 40])
+def test_ppm_scores_do_not_turn_on_what_is_held(spark, most):
+    rows = [*texts(), "zq xj kv", "the zqxj of"]
+    want = trained_trie([t or "" for i, t in enumerate(rows) if zlib.crc32(str(i).encode()) % 7 != 2])
+    got = {r["doc_id"]: r["score"] for r in ppm.score(documents(spark, rows), chunk_bytes=2000, held_contexts=most).collect()}
+    assert [got[i] for i in range(len(rows))] == pytest.approx([want.code_length((t or "").encode(), adaptive=False) for t in rows], rel=1e-5)
+
+
 def brute_repeats(rows, window):
     first = {}
     for d, t in rows:
