@@ -469,3 +469,22 @@ def test_pipeline_stages_do_their_work(spark, tmp_path):
         if name == "mixture":
             assert set(ids) <= set(before) and max(Counter(ids).values()) <= 3
     assert corpus.run(spark, str(tmp_path)).count() == at.count()
+
+
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    corpus = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(10)
+    rows = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(20)]
+    changed = rows[4].split()
+    for i in (60, 90, 120, 150):  # 176 of 216 five-word shingles are shared, 186 of 210 of three words
+        changed[i] = "changed"
+    rows.append(" ".join(changed))
+    other = rows[5].split()
+    for i in range(10, 200, 20):
+        other[i] = "other"
+    rows.append(" ".join(other))
+    sets = lambda t, k: {tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)}
+    alike = lambda a, b, k: len(sets(a, k) & sets(b, k)) / len(sets(a, k) | sets(b, k))
+    assert alike(rows[4], rows[20], 5) >= 0.8 and alike(rows[4], rows[20], 3) < 0.9 and alike(rows[5], rows[21], 5) < 0.8
+    got = {r["doc_id"] for r in corpus.near_duplicates(spark, documents(spark, rows), "").collect()}
+    assert got == set(range(22)) - {20}
