@@ -11,14 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keeps, only, pieces, table
+from .common import PIECE_BYTES, keeps, only, pieces, table
 
 UNKNOWN = "und"
-#: What the network is trained on: languages by documents, documents of each, words of each document spread over its whole text.
-MOST_LANGUAGES, SAMPLE_DOCS, SAMPLE_WORDS, TRAIN_WORDS = 64, 400, 60, 12_000
+#: What the network is trained on for each language: documents, words of each document spread over its whole text, words.
+SAMPLE_DOCS, SAMPLE_WORDS, TRAIN_WORDS = 400, 60, 12_000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 3, 256, 0.01, 11
 LONGEST = 48
-MOST_WORDS = 400_000
+#: Words that a reader remembers, and languages for which batches have their full size: with more, both shrink by as much, which
+#: changes memory only.
+MOST_WORDS, WIDE = 400_000, 64
 #: ASCII that isn't a letter parts words: it tells nothing of the language.
 PART = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -31,6 +33,10 @@ def words_of(text: str) -> list[bytes]:
     return out
 
 
+def shrunk(size: int, languages: int) -> int:
+    return max(1, size * WIDE // max(WIDE, languages))
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and (re.search("[A-Za-z]", text) is not None or any(map(str.isalpha, text)))
 
@@ -141,8 +147,9 @@ class BiGru:
         for i, w in enumerate(words):
             by[len(w)].append(i)
         for own in by.values():
-            for i in range(0, len(own), 4096):
-                at = own[i : i + 4096]
+            size = shrunk(4096, out.shape[1])
+            for i in range(0, len(own), size):
+                at = own[i : i + size]
                 x = self.index[np.frombuffer(b"".join([words[j] for j in at]), np.uint8).reshape(len(at), -1)]
                 out[at] = self.probabilities(x).sum(0)
         return out
@@ -161,7 +168,7 @@ class Reader:
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         rows = [words_of(t) if t else [] for t in texts]
-        if len(self.place) > MOST_WORDS:
+        if len(self.place) > shrunk(MOST_WORDS, len(self.languages)):
             self.clear()
         if new := list({w: None for row in rows for w in row if w not in self.place}):
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
@@ -178,11 +185,10 @@ class Reader:
 
 
 def sample(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_words: int = SAMPLE_WORDS) -> tuple[list[str], list[tuple[str, bytes]]]:
-    """The languages of docs (text, lang, key), at most MOST_LANGUAGES by documents, and words of a bounded sample of them."""
-    counts = docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    pick = F.lit(False)
-    for lang, n in counts:
-        pick = pick | ((F.col("lang") == lang) & (F.pmod(F.col("key"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, most_docs / n)))))
+    """All languages of docs (text, lang, key), and words of a bounded sample of the documents of each."""
+    some = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = some.groupBy("lang").count().collect()
+    rates = docs.sparkSession.createDataFrame([(r["lang"], int((1 << 20) * min(1.0, most_docs / r["count"]))) for r in counts], "lang string, rate long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +198,7 @@ def sample(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_words: int = SAMP
                 some.append(b" ".join(row[:: max(1, len(row) // most_words)][:most_words]))
             yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(keys, pa.int64()), pa.array(some, pa.binary())], names=["lang", "key", "words"])
 
-    got = docs.where(pick).select("text", "lang", "key").mapInArrow(run, "lang string, key long, words binary").toArrow()
+    got = some.join(F.broadcast(rates), "lang").where(F.pmod("key", F.lit(1 << 20)) < F.col("rate")).select("text", "lang", "key").mapInArrow(run, "lang string, key long, words binary").toArrow()
     rows = sorted(zip(got.column("lang").to_pylist(), got.column("key").to_pylist(), got.column("words").to_pylist(), strict=True))
     return sorted(r["lang"] for r in counts), [(lang, w) for lang, _, words in rows for w in words.split()]
 
@@ -238,7 +244,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
             _READERS["of"], _READERS["reader"] = net.value, Reader(*net.value)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, shrunk(PIECE_BYTES, len(_READERS["reader"].languages))):
                 got = _READERS["reader"].label(texts[a:b])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([x[0] for x in got]), pa.array([x[1] for x in got], pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])

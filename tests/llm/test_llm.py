@@ -296,6 +296,17 @@ def test_languages_are_told_apart(spark):
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
 
 
+def test_all_languages_are_learned(spark):
+    rng = random.Random(12)
+    own = [[chr(0x61 + k // 20) + chr(0x430 + k % 20) + chr(0x3B1 + j) for j in range(3)] for k in range(70)]
+    rows = [(100 * k + i, " ".join(rng.choice(own[k]) for _ in range(60)), f"l{k:02d}") for k in range(70) for i in range(12 if k < 66 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, words = langid.sample(docs.select("text", "lang", F.xxhash64("doc_id").alias("key")))
+    assert languages == sorted({r[2] for r in rows}) and {lang for lang, _ in words} == set(languages)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    assert all(any(got[d] == lang for d, _, lang in rows if lang == f"l{k}") for k in range(66, 70))
+
+
 def test_mix_targets_and_copies(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), source) for i, source in enumerate(["a"] * 300 + ["b"] * 40 + ["c"] * 500 + [None] * 60)] + [(5000, None, "a"), (5001, "", "zero")]
