@@ -42,3 +42,15 @@ def test_query(spark, db, group, name):
     assert sorted(got.column_names) == columns
     rows = [[r[known.columns.index(c)] for c in columns] for r in known.fetchall()]
     assert plain(zip(*[got.column(c).to_pylist() for c in columns], strict=True)) == plain(rows)
+
+
+def test_row_numbers_of_keys_with_gaps_and_repeats(spark):
+    from types import SimpleNamespace
+
+    from seqspark.plans.joins import j02
+
+    keys = [5, 9, 9, 40, 1000, 1001, 70000, None]
+    part = spark.createDataFrame([(k,) for k in reversed(keys)], "p_partkey long")
+    supplier = spark.createDataFrame([(3 * k + k % 2, f"s{k}") for k in range(6)], "s_suppkey long, s_name string")
+    got = sorted(tuple(r) for r in j02(SimpleNamespace(part=part, supplier=supplier)).collect())
+    assert got == [(k, f"s{i}") for i, k in enumerate(keys[:6])]
