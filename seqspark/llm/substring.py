@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import only, pieces, settle, table
@@ -15,6 +15,10 @@ from .hashing import KNOWN, sliding_least, windows
 
 WINDOW = 50
 ANCHOR = 16
+#: Hashes that may clash before it must be a fault of another kind.
+MOST_SEEDS = 4
+#: What a row of the text pass holds: words of a path for those that repeat it, words of a branching edge, a document that may lose words.
+PATH, BRANCH, DOCUMENT = 0, 1, 2
 
 
 def paths(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -22,7 +26,7 @@ def paths(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np
 
     A window of words is an edge of the de Bruijn graph. Its anchor is the place within it at which the hash of anchor words
     is least, the first of equals; where a text holds the same window, the anchor is the same. Consecutive windows with one
-    anchor are a path; a path is known by its anchor and its words.
+    anchor are a chain of edges, known by its words.
     """
     grams = windows(h, anchor)
     if len(h) < window:
@@ -37,130 +41,222 @@ def paths(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np
     return first, last, grams[at[first]]
 
 
-def _key(words: list[bytes], size: int) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=size).digest()
+def digest(words: bytes, seed: int, bits: int) -> int:
+    """A signed number that stands for words joined by spaces; never 0, which stands for none."""
+    full = int.from_bytes(hashlib.blake2b(words, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little", signed=True)
+    return (full if bits >= 64 else full % (1 << bits)) or 1
 
 
-def _paths_of(words: list[bytes], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(first, last, anchor, key) of each path; anchor and key are signed 64-bit numbers."""
-    first, last, anchors = paths(KNOWN.of(words), window)
-    for a, b, anchor in zip(first.tolist(), last.tolist(), anchors.astype(np.int64).tolist(), strict=True):
-        yield a, b, anchor, int.from_bytes(_key(words[a : b + window], 8), "little", signed=True)
+EDGES = "doc_id long, mark int, n_words long, sha256 string, kept string, starts array<int>, counts array<int>, anchors array<long>, keys array<long>"
 
 
-def graph(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, anchor, key): the paths of every document that has an id, each once a document."""
+def chains(rows: DataFrame, window: int, seed: int, bits: int, full: bool) -> DataFrame:
+    """One row for each row (doc_id, mark, text): number of words, digest of all words joined by a space, and the chains of edges
+    of its windows in order: first window, number of windows, anchor, key of the words. Rows without id have no chains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("hashing")
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            ids, marks, texts = batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()).to_pylist()
             for a, b in pieces(texts):
-                rows = [(d, *x) for d, t in zip(ids[a:b], texts[a:b], strict=True) if t for x in {p[2:] for p in _paths_of(t.split(), window)}]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "anchor", "key"])
+                out: list[tuple] = []
+                for i in range(a, b):
+                    words = (texts[i] or b"").split()
+                    whole = b" ".join(words)
+                    row = (len(words), hashlib.sha256(whole).hexdigest(), whole if full else None)
+                    if len(words) < window or not ids[i].is_valid:
+                        out.append((*row, [], [], [], []))
+                        continue
+                    first, last, anchors = paths(KNOWN.of(words), window)
+                    keys = [digest(b" ".join(words[s : e + window]), seed, bits) for s, e in zip(first.tolist(), last.tolist(), strict=True)]
+                    out.append((*row, first, last - first + 1, anchors.view(np.int64), keys))
+                kinds = [pa.int64(), pa.string(), pa.string(), *[pa.list_(t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64())]]
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), marks.slice(a, b - a), *columns], names=[x.split(" ")[0] for x in EDGES.split(", ")])
+
+    return settle(rows.mapInArrow(run, EDGES), "chains")
+
+
+def repeated(edges: DataFrame) -> DataFrame:
+    """(doc_id, mark, start, n, anchor, key, before, after): the chains whose anchor occurs in several documents, and the keys of the
+    chains that touch them on both sides in their document, 0 for none. Only these chains can repeat, wholly or in part."""
+    each = edges.where("size(starts) > 0").select("doc_id", "mark", F.inline(F.arrays_zip("starts", "counts", "anchors", "keys")))
+    each = each.select("doc_id", "mark", F.col("starts").alias("start"), F.col("counts").alias("n"), F.col("anchors").alias("anchor"), F.col("keys").alias("key"))
+    # Partial counts by task first: an anchor that a third of all documents hold is one row of each task.
+    common = each.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    some = each.join(common, "anchor", "left_semi")
+    order = Window.partitionBy("doc_id", "mark").orderBy("start")  # within one document
+    before = F.when(F.lag("start").over(order) + F.lag("n").over(order) == F.col("start"), F.lag("key").over(order))
+    after = F.when(F.lead("start").over(order) == F.col("start") + F.col("n"), F.lead("key").over(order))
+    return settle(some.select("*", F.coalesce(before, F.lit(0)).alias("before"), F.coalesce(after, F.lit(0)).alias("after")), "repeated")
+
+
+def nodes_of(chains_: DataFrame) -> DataFrame:
+    """One row for each key: its source (smallest document, and the place there), the largest document, and the least and largest
+    neighbour on both sides: one that is least and largest is the only one."""
+    return settle(
+        chains_.groupBy("key").agg(
+            F.min(F.struct("doc_id", "mark", "start")).alias("source"), F.max("doc_id").alias("last"), F.min("anchor").alias("anchor"), F.min("n").alias("n"),
+            F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"),
+        ),
+        "nodes",
+    )
+
+
+def compacted(nodes: DataFrame) -> DataFrame:
+    """(key, head, total): the nonbranching paths of the chains that repeat: the chain that each begins with, and its windows.
+
+    Two chains are joined where the first is followed by nothing but the second and the second preceded by nothing but the first, in
+    every document; the end of a document counts as a neighbour of its own, so there are no cycles. Pointers to the chain
+    before are doubled by joins until all point to heads: as many rounds as the logarithm of the longest path.
+    """
+    shared = nodes.where("source.doc_id < last")
+    ahead = shared.where("a0 = a1 AND a0 <> 0").select(F.col("key").alias("up"), F.col("a0").alias("key"))
+    behind = shared.where("b0 = b1 AND b0 <> 0").select("key", F.col("b0").alias("up"))
+    now, moved = settle(ahead.join(behind, ["key", "up"]), "paths"), True
+    while moved:
+        far = now.select(F.col("key").alias("up"), F.col("up").alias("far"))
+        now = settle(now.join(far, "up", "left").select("key", F.coalesce("far", "up").alias("up"), F.col("far").isNotNull().alias("moved")), "paths")
+        moved = not now.where("moved").isEmpty()
+        now = now.select("key", "up")
+    led = shared.select("key", "n").join(now, "key", "left").select(F.coalesce("up", "key").alias("head"), "n")
+    return led.groupBy("head").agg(F.sum("n").cast("int").alias("total"))
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, anchor long, key long")
 
+def branches(nodes: DataFrame) -> DataFrame:
+    """The nodes whose anchor other chains have too: there the graph branches, and parts of chains may repeat though the whole doesn't."""
+    forks = nodes.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("source.doc_id").alias("s"), F.max("last").alias("l")).where("a <> b AND s < l")
+    return nodes.join(forks.select("anchor"), "anchor", "left_semi").select("key", "source", "n")
 
-def compacted(edges: DataFrame) -> DataFrame:
-    """(doc_id, keys, forks): for each document that repeats, the keys of its paths that start in a smaller document, and those
-    of its paths that must be looked at window by window.
 
-    Documents that walk a path alike meet in one node, whose smallest document is the source for the others: the path needs
-    no more than that one row. Only where paths with one anchor differ does the graph branch; there the smallest document of
-    each path stands for it and is taken apart into single windows.
-    """
-    nodes = settle(edges.groupBy("anchor", "key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")), "paths")
-    shared = nodes.where("source < last").select("anchor", "key", "source")
-    taken = edges.join(shared, ["anchor", "key"]).where("doc_id > source").select("doc_id", "key", F.lit(False).alias("fork"))
-    forks = nodes.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("source").alias("s"), F.max("last").alias("l")).where("a <> b AND s < l").select("anchor")
-    apart = nodes.join(forks, "anchor").select(F.col("source").alias("doc_id"), "key", F.lit(True).alias("fork"))
-    return taken.unionByName(apart).groupBy("doc_id").agg(
-        F.collect_set(F.when(~F.col("fork"), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("fork"), F.col("key"))).alias("forks")
-    )
-
-
-def _cut(words: list[bytes], starts: list[int], window: int) -> tuple[int, list[bytes]]:
-    """The number of words that windows at starts cover, and the words that stay."""
-    gone = np.zeros(len(words) + 1, np.int64)
-    for s in starts:
-        gone[s] += 1
-        gone[s + window] -= 1
-    keep = np.cumsum(gone)[:-1] == 0
-    return int(len(words) - keep.sum()), [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+TEXTS = "kind int, key long, doc_id long, mark int, words string"
 
 
-SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text string, starts array<int>, places array<int>, spans array<binary>"
+def read_texts(rows: DataFrame, asked: DataFrame, window: int) -> DataFrame:
+    """(kind, key, doc_id, mark, words): what asked (doc_id, mark, kind, key, start, n) wants of texts. Texts of other documents stay
+    where they are if Spark finds the ids few enough to send them around."""
+    ids = settle(asked.select("doc_id", "mark").distinct(), "ids")
+    lists = asked.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("kind", "key", "start", "n")).alias("wants"))
+    held = rows.join(ids, ["doc_id", "mark"], "left_semi").join(lists, ["doc_id", "mark"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids_, marks, texts, wants = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3)
+            for a, b in pieces(texts):
+                out: list[tuple] = []
+                for i in range(a, b):
+                    words = (texts[i] or b"").split()
+                    for w in wants[i].as_py():
+                        part = words if w["kind"] == DOCUMENT else words[w["start"] : w["start"] + w["n"] + window - 1]
+                        out.append((w["kind"], w["key"], ids_[i], marks[i], b" ".join(part)))
+                if out:
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split(" ")[0] for x in TEXTS.split(", ")])
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())]
-    names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    return settle(held.select("doc_id", "mark", "text", "wants").mapInArrow(run, TEXTS), "texts")
 
 
-def _final(doc_id: int | None, words: list[bytes], starts: list[int], window: int, full: bool) -> tuple:
-    removed, kept = _cut(words, starts, window) if starts else (0, words)
-    out = b" ".join(kept)
-    return doc_id, len(words), removed, hashlib.sha256(out).hexdigest(), out.decode() if full else None, None, None, None, None
+def branch_spans(texts: DataFrame, window: int, seed: int, bits: int) -> DataFrame:
+    """(key, at, n, ref, place): the windows of branching chains that also start in a smaller document, in runs: n windows from the
+    at-th of the chain on are those from place of chain ref."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()
+            for a, b in pieces(bodies, 1 << 20):
+                rows = []
+                for k, d, body in zip(keys[a:b], ids[a:b], bodies[a:b], strict=True):
+                    words = body.split(b" ")
+                    rows += [(k, d, i, digest(b" ".join(words[i : i + window]), seed, bits)) for i in range(len(words) - window + 1)]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "doc_id", "at", "edge"])
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, full: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept): one row for each row of docs, without the words of any window of consecutive
-    words that also starts in a document with a smaller id. kept is null unless full.
+    edges = texts.where(F.col("kind") == BRANCH).select("key", "doc_id", "words").mapInArrow(run, "key long, doc_id long, at int, edge long")
+    first = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "key", "at")).alias("s"), F.max("doc_id").alias("last")).where("s.doc_id < last")
+    hits = edges.join(first, "edge").where("doc_id > s.doc_id").select("key", "at", F.col("s.key").alias("ref"), F.col("s.at").alias("place"))
+    # A chain has as many windows as words between anchors: its runs are told apart within a few rows.
+    order = Window.partitionBy("key", "ref", F.col("at") - F.col("place")).orderBy("at")
+    runs = hits.withColumn("run", F.col("at") - F.row_number().over(order))
+    return runs.groupBy("key", "ref", "run", (F.col("at") - F.col("place")).alias("_d")).agg(F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("n"), F.min("place").alias("place")).select("key", "at", "n", "ref", "place")
 
-    Windows are told apart by 128 bits of their words' digest (of a path: 64 bits of digest and 64 of its anchor), which stands
-    for looking at the source's words again. Null and empty texts have no words; documents shorter than a window lose nothing;
-    rows without id lose nothing and are no source; rows with the same id are one document, which is no source for itself;
-    an empty table gives no rows. Documents are read whole; what a task holds is a few MB of text and one long document.
-    """
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    known = compacted(settle(graph(rows, window), "paths"))
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, keys, forks = (batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), batch.column(3))
-            for a, b in pieces(texts):
-                out = []
-                for i in range(a, b):
-                    words = (texts[i] or b"").split()
-                    taken, apart = set(keys[i].as_py() or ()), set(forks[i].as_py() or ())
-                    starts: list[int] = []
-                    open_: list[int] = []
-                    if taken or apart:
-                        for f, l, _, key in _paths_of(words, window):
-                            if key in taken:
-                                starts += range(f, l + 1)
-                            elif key in apart:
-                                open_ += range(f, l + 1)
-                    if open_:
-                        out.append((ids[i], len(words), None, None, None, texts[i].decode(), starts, open_, [_key(words[s : s + window], 16) for s in open_]))
-                    else:
-                        out.append(_final(ids[i], words, starts, window, full))
-                yield _batch(out)
-
-    seen = settle(rows.join(known, "doc_id", "left").mapInArrow(first, SCHEMA), "repeats")
-    waiting = seen.where("n_removed IS NULL")
-    single = waiting.select("doc_id", F.explode("spans").alias("span"))
-    source = single.groupBy("span").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
-    hit = single.join(source, "span").where("doc_id > source").groupBy("doc_id").agg(F.collect_set("span").alias("hits"))
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(words: list[bytes], spans: list[tuple[int, int]], window: int) -> list[bytes]:
+    """The words that no window of spans (first, number) covers."""
+    gone = np.zeros(len(words) + 1, np.int64)
+    for s, n in spans:
+        gone[s] += 1
+        gone[s + n + window - 1] -= 1
+    return [w for w, g in zip(words, np.cumsum(gone)[:-1].tolist(), strict=True) if not g]
+
+
+def _removed(held: DataFrame, window: int, full: bool) -> DataFrame:
+    """(doc_id, mark, left, cut_sha256, cut, clash) of rows with words and spans: the source's words are compared with the document's
+    own, and where they differ a hash clashed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            texts = get["text"].to_pylist()
-            for a, b in pieces(texts):
-                out = []
+            ids, marks, bodies, spans = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3)
+            for a, b in pieces(bodies):
+                out: list[tuple] = []
                 for i in range(a, b):
-                    hits = set(get["hits"][i].as_py() or ())
-                    starts = get["starts"][i].as_py() + [p for p, s in zip(get["places"][i].as_py(), get["spans"][i].as_py(), strict=True) if s in hits]
-                    out.append(_final(get["doc_id"][i].as_py(), texts[i].encode().split(), starts, window, full))
-                yield _batch(out)
-
-    rest = waiting.select("doc_id", "text", "starts", "places", "spans").join(hit, "doc_id", "left").mapInArrow(second, SCHEMA)
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-    return seen.where("n_removed IS NOT NULL").select(*names).unionByName(rest.select(*names))
+                    words, clash, sure = bodies[i].split(b" "), False, []
+                    for s in spans[i].as_py():
+                        same = b" ".join(words[s["start"] : s["start"] + s["n"] + window - 1]) == s["words"].encode()
+                        clash |= not same
+                        if same:
+                            sure.append((s["start"], s["n"]))
+                    left = _cut(words, sure, window)
+                    whole = b" ".join(left)
+                    out.append((ids[i], marks[i], len(left), hashlib.sha256(whole).hexdigest(), whole if full else None, clash))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "mark", "left", "cut_sha256", "cut", "clash"])
+
+    return settle(held.mapInArrow(run, "doc_id long, mark int, left long, cut_sha256 string, cut string, clash boolean"), "cut")
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, full: bool = True, seed: int = 0, bits: int = 64) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept): one row for each row of docs, without the words of any window of consecutive
+    words that also starts in a document with a smaller id. kept is null unless full.
+
+    Windows are edges of a de Bruijn graph; those of one anchor in a row are a chain, and chains that repeat are compacted to
+    nonbranching paths by joins. A path or a part of a branching chain is known by its source: the smallest document and the
+    place in it. The words there are brought to each repetition and compared with its own: should hashes of two documents clash
+    (keys have bits bits), all is done again with the next seed and more bits. Null and empty texts have no words; documents
+    shorter than a window lose nothing; rows without id lose nothing and are no source; rows with the same id are one document,
+    which is no source for itself; an empty table gives no rows. Documents are read whole; what a task holds is a few MB of text
+    and one long document.
+    """
+    mark = F.xxhash64(F.coalesce(docs[text], F.lit("")), F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), mark.alias("mark"), docs[text].alias("text"))
+    base = chains(rows, window, seed, bits, full)
+    some = repeated(base)
+    nodes = nodes_of(some)
+    heads = settle(compacted(nodes).withColumnRenamed("head", "key").join(nodes.select("key", "source"), "key"), "heads")
+    forks = settle(branches(nodes), "forks")
+    where_ = ["doc_id", "mark", "start"]
+    # A path is met where its head is; whoever holds the head holds the path.
+    spans = some.select(*where_, "key").join(heads, "key").where(F.col("doc_id") > F.col("source.doc_id"))
+    spans = settle(spans.select(*where_, F.col("total").alias("n"), F.lit(PATH).alias("kind"), F.col("key").alias("ref"), F.lit(0).alias("place")), "spans")
+    wants = lambda df, kind, n: df.select("source.doc_id", "source.mark", F.lit(kind).alias("kind"), "key", "source.start", F.col(n).alias("n"))
+    whole = lambda df: df.select("doc_id", "mark", F.lit(DOCUMENT).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("n"))
+    branching = wants(forks, BRANCH, "n")
+    texts = read_texts(rows, wants(heads, PATH, "total").unionByName(branching).unionByName(whole(spans)).unionByName(whole(branching)), window)
+    parts = settle(branch_spans(texts, window, seed, bits), "parts")
+    own = some.select(*where_, "key").join(forks.select("key", F.col("source.doc_id").alias("doc_id")), ["key", "doc_id"], "left_semi").join(parts, "key")
+    own = own.select("doc_id", "mark", (F.col("start") + F.col("at")).alias("start"), "n", F.lit(BRANCH).alias("kind"), "ref", "place")
+    words = texts.where(F.col("kind") != DOCUMENT).select("kind", F.col("key").alias("ref"), "words").dropDuplicates(["kind", "ref"])
+    part = F.array_join(F.slice(F.split("words", " ", -1), F.col("place") + 1, F.col("n") + F.lit(window - 1)), " ")
+    told = spans.unionByName(own).join(words, ["kind", "ref"]).select(*where_, "n", F.when(F.col("kind") == PATH, F.col("words")).otherwise(part).alias("words"))
+    told = told.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n", "words")).alias("spans"))
+    held = texts.where(F.col("kind") == DOCUMENT).select("doc_id", "mark", "words").dropDuplicates(["doc_id", "mark"]).join(told, ["doc_id", "mark"])
+    cut = _removed(held, window, full)
+    if not cut.where("clash").isEmpty():
+        if seed + 1 >= MOST_SEEDS:
+            raise ValueError("hashes of words clash with every seed")
+        return remove_repeats(docs, text, doc_id, window, full, seed + 1, min(64, bits * 4))
+    out = base.select("doc_id", "mark", "n_words", "sha256", "kept").join(cut.drop("clash"), ["doc_id", "mark"], "left")
+    return out.select("doc_id", "n_words", (F.col("n_words") - F.coalesce("left", "n_words")).alias("n_removed"), F.coalesce("cut_sha256", "sha256").alias("kept_sha256"), F.coalesce("cut", "kept").alias("kept"))
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

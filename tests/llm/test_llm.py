@@ -215,16 +215,34 @@ def brute_repeats(rows, window):
         yield d, len(words), len(gone), hashlib.sha256(" ".join(w for p, w in enumerate(words) if p not in gone).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("seed", [0, 5])
-def test_repeats_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "bits"), [(0, 64), (5, 64), (5, 4)])
+def test_repeats_equal_brute_force_even_when_hashes_clash(spark, seed, bits):
     rng = random.Random(seed)
     parts = [" ".join(f"x{rng.randrange(30)}" for _ in range(rng.randrange(20, 90))) for _ in range(8)]
     rows = list(enumerate([*texts(seed), *(" ".join(rng.sample(parts, 4)) for _ in range(15)), "a " * 200, "a " * 120]))
     df = odd(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {tuple(r)[:4] for r in substring.remove_repeats(df).collect()}
+    got = {tuple(r)[:4] for r in substring.remove_repeats(df, bits=bits).collect()}
     assert got == set(brute_repeats(rows, 50))
 
 
+def test_rows_with_one_id_are_one_document_and_no_source_for_each_other(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"y{rng.randrange(50)}" for _ in range(n))
+    shared, other = line(80), line(80)
+    rows = [(7, shared), (7, shared + " " + other), (7, shared), (9, other), (9, line(20) + " " + shared), (None, shared), (11, shared + " more")]
+    got = sorted(tuple(r) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed").na.fill(-1).collect())
+    assert got == sorted([(7, 80, 0), (7, 160, 0), (7, 80, 0), (9, 80, 80), (9, 100, 80), (-1, 80, 0), (11, 81, 80)])
+
+
+def test_nonbranching_paths_are_joined_to_their_heads(spark):
+    # 1-2-3-4-5 is one path in two documents, but a third document leaves after 3.
+    hold = {1: [1, 2, 3, 4, 5], 2: [1, 2, 3, 4, 5], 3: [2, 3, 9], 4: [7, 8], 5: [7, 8]}
+    rows = [(d, 0, 10 * i, 10, k, k, ks[i - 1] if i else 0, ks[i + 1] if i + 1 < len(ks) else 0) for d, ks in hold.items() for i, k in enumerate(ks)]
+    df = spark.createDataFrame(rows, "doc_id long, mark int, start int, n int, anchor long, key long, before long, after long")
+    got = {r["head"]: r["total"] for r in substring.compacted(substring.nodes_of(df)).collect()}
+    assert got == {1: 10, 2: 20, 4: 20, 7: 20}
+
+
 def test_paths_cover_all_windows():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 9, 400).astype(np.uint64)
