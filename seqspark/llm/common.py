@@ -91,6 +91,23 @@ def pieces(values: list, size: int = PIECE_BYTES):
         yield at, len(values)
 
 
+#: A key is hot that holds more than this share of all rows; there are at most as many hot keys as one through it.
+HOT_SHARE, SALTS = 0.001, 64
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """The keys of counts (key, n) that hold more than HOT_SHARE of the sum of n: 1,000 at most, so they can be sent around."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    return settle(counts.where(F.col(n) > F.lit(max(1.0, HOT_SHARE * total))).select(key), "hot")
+
+
+def met(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with the narrow table right by key; rows of hot keys stay where they are and right's few rows for them come to them."""
+    few = F.broadcast(hot)
+    there = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
+    return left.join(few, key, "left_anti").join(right, key, how).unionByName(there)
+
+
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of (a, b) longs: rows (id, component) for every id of an edge; component is the smallest id.
 

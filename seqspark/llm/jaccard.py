@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import merge
 from itertools import groupby
 from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, only, pieces, settle, table
-from .hashing import KNOWN, mixed, windows
+from .common import components, hot_keys, met, only, settle, table
+from .hashing import KNOWN, windows
 
 SHINGLE = 3
 PERCENT = 90
-#: Empty parts that a document may have before they count as parts of their own; so many more parts are cut.
-SPARE = 2
+#: Bytes of text whose shingles are packed together, and characters whose shingles a task keeps the lists of.
+CHUNK_BYTES, PART_CHARS = 16 << 20, 32 << 20
 #: Bytes of text, and documents, that a block holds before its group is cut into several.
 BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 4096
 #: Skew between a probe of a long list and a step of merging, as in the cost rule for the number of long lists.
@@ -34,71 +35,169 @@ def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
     return np.unique(windows(KNOWN.of(words), min(k, len(words))))
 
 
-@lru_cache(maxsize=16)
-def bounds(percent: int) -> tuple[int, ...]:
-    """Least sizes of the classes of set sizes: sets that can be similar lie in one class or in two that follow each other."""
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(out[-1] * 100 // percent + 1)
-    return tuple(out)
-
-
-def parts(least: int, percent: int) -> int:
-    """Into how many parts sets of two classes that meet at least are cut.
-
-    Similar sets of sizes n and m differ in at most (n + m) * (100 - percent) / (100 + percent) members; with more parts than
-    that, some part is the same in both. SPARE more make up for parts that are empty in both.
+def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+    """Least overlap of a set of n members with any set that is similar to it."""
+    return -(-n * percent // 100)
+
+
+def _u(kind, column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x or b"", kind) for x in column.to_pylist()]
+
+
+#: Columns of what travels between texts and inverted lists: a chunk's share of the lists of a part, or a document of a chunk.
+LISTS = "part int, chunk long, hashes binary, places binary, weights binary, doc_id long, place int, n long, digest binary, own long"
+NAMES = [x.split(" ")[0] for x in LISTS.split(", ")]
+#: Stands for several documents of a chunk.
+SEVERAL = 0xFFFF
+
+
+def _row(part: int, chunk: int, hashes: np.ndarray, places: np.ndarray, weights: np.ndarray) -> tuple:
+    return part, chunk, hashes.tobytes(), places.astype(np.uint16).tobytes(), weights.astype(np.uint32).tobytes(), None, None, None, None, None
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=NAMES)
+
+
+def _pack(ids: list, texts: list, chunk: int, k: int, parts: int, detail: bool) -> list[tuple]:
+    """Rows of a chunk of documents: for each part of the hash range the shingles with the place of the only document that holds them,
+    or SEVERAL with their number; and a row for each document, whose own counts its shingles that others of the chunk hold."""
+    sets = [shingles((t or b"").split(), k) for t in texts]
+    held = [s if d is not None else s[:0] for s, d in zip(sets, ids, strict=True)]
+    flat, place = np.concatenate(held), np.repeat(np.arange(len(held)), [len(s) for s in held])
+    order = np.argsort(flat, kind="stable")
+    flat, place = flat[order], place[order]
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, np.int64)
+    count = np.diff(np.concatenate((first, [len(flat)])))
+    many = np.repeat(count > 1, count)
+    own = np.bincount(place[many], minlength=len(held))
+    value, where_ = flat[first], np.where(count > 1, SEVERAL, place[first])
+    part = ((value >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    bounds = np.searchsorted(part, np.arange(parts + 1)) if parts < len(part) else None
+    low = (value & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    rows = []
+    for p in range(parts) if bounds is not None else np.unique(part).tolist():
+        a, b = (bounds[p], bounds[p + 1]) if bounds is not None else np.searchsorted(part, (p, p + 1))
+        if a < b:
+            w, c = where_[a:b], count[a:b]
+            rows.append(_row(p, chunk, low[a:b], w, c[w == SEVERAL]))
+    at = chunk % parts
+    if detail and many.any():  # who they are, for the chunk itself
+        token = np.repeat(part, count)[many].astype(np.uint64) << np.uint64(32) | flat[many] & np.uint64(0xFFFFFFFF)
+        rows.append((at, chunk, token.tobytes(), place[many].astype(np.uint16).tobytes(), None, None, -1, None, None, None))
+    for i, (d, s) in enumerate(zip(ids, sets, strict=True)):
+        rows.append((at, chunk, None, None, None, d, i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, int(own[i])))
+    return rows
+
+
+def inverted(rows: DataFrame, k: int, parts: int, detail: bool) -> DataFrame:
+    """(LISTS): for each chunk of rows (doc_id, text), which of its shingles other documents hold too.
+
+    Chunks of documents send their distinct shingles, 4 bytes each beside the place of the document, to the task that keeps the
+    inverted lists of that part of the hash range. Back come the shingles whose list is longer than one, with its length (detail), or
+    only how many of them each document has. A shingle of all documents is sent once by each chunk. Two shingles that
+    agree in 32 bits and the part count as one, which can only make more candidates.
     """
-    n = least - 1
-    differ = (n + n * 100 // percent) * (100 - percent) // (100 + percent)
-    return differ + 1 + SPARE if differ else 1
-
-
-def signatures(s: np.ndarray, percent: int = PERCENT) -> list[int]:
-    """Hashes of the parts of a sorted set, for its class with the one above and the one below.
 
-    A part is a range of hashes. Empty parts are left out unless there are more than SPARE: then a set that has fewer finds
-    the document by another part, and one that has as many by the empty ones.
-    """
-    edge = bounds(percent)
-    j = int(np.searchsorted(np.array(edge[:200], dtype=np.int64), len(s), side="right")) - 1
-    weight = mixed(s ^ np.uint64(0x5851F42D4C957F2D))
-    out: list[int] = []
-    for scheme in (j, j + 1):
-        if scheme == 0:
-            continue
-        m = parts(edge[scheme], percent)
-        part = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        sums = np.add.reduceat(weight, first)
-        sums = mixed(sums + mixed(np.array([scheme], np.uint64)) ^ part[first].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        out += sums.astype(np.int64).tolist()
-        if m - len(first) > SPARE:
-            void = np.setdiff1d(np.arange(m), part[first]).astype(np.uint64)
-            out += mixed(void * np.uint64(0xA0761D6478BD642F) + mixed(np.array([scheme], np.uint64))).astype(np.int64).tolist()
-    return out
-
-
-def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, digest, signatures) for each row (doc_id, text); digest is null for an empty set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("hashing")
+        seq, key = 0, TaskContext.get().partitionId() << 24
+        ids, texts, held = [], [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in pieces(texts):
-                sets = [shingles((t or b"").split(), k) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[a:b], pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([signatures(s, percent) if len(s) and d is not None else [] for s, d in zip(sets, ids[a:b], strict=True)], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n", "digest", "signatures"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, signatures array<long>")
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if texts and (held + len(t or b"") > CHUNK_BYTES or len(texts) >= SEVERAL - 1):
+                    yield _batch(_pack(ids, texts, key | seq, k, parts, detail))
+                    seq, ids, texts, held = seq + 1, [], [], 0
+                ids.append(d)
+                texts.append(t)
+                held += len(t or b"")
+        if texts:
+            yield _batch(_pack(ids, texts, key | seq, k, parts, detail))
+
+    def merge_lists(group: pa.Table) -> pa.Table:
+        through = group.filter(pa.compute.is_valid(group.column("place")))
+        lists = group.filter(pa.compute.is_null(group.column("place")))
+        hashes, places, weights = _u(np.uint32, lists.column("hashes")), _u(np.uint16, lists.column("places")), _u(np.uint32, lists.column("weights"))
+        out = []
+        if hashes:
+            ordered = np.sort(np.concatenate(hashes))
+            shared = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], *[h[p == SEVERAL] for h, p in zip(hashes, places, strict=True)]]))
+            counts = np.zeros(len(shared), np.int64)
+            found = []
+            for h, p, w in zip(hashes, places, weights, strict=True):
+                at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
+                mine = np.flatnonzero(shared[at] == h) if len(shared) else np.empty(0, np.int64)
+                found.append((at[mine], mine))
+                if detail:
+                    n = np.ones(len(h), np.int64)
+                    n[p == SEVERAL] = w
+                    counts += np.bincount(at[mine], weights=n[mine], minlength=len(shared)).astype(np.int64)
+            part = group.column("part")[0].as_py()
+            for chunk, h, p, (at, mine) in zip(lists.column("chunk").to_pylist(), hashes, places, found, strict=True):
+                if detail:
+                    out.append(_row(part, chunk, h[mine], p[mine], np.minimum(counts[at], 0xFFFFFFFF)))
+                else:
+                    p = p[mine]
+                    n = np.bincount(p[p != SEVERAL])
+                    some = np.flatnonzero(n)
+                    out.append(_row(part, chunk, h[:0], some, n[some]))
+        return pa.concat_tables([through, pa.Table.from_batches([_batch(out)]).cast(through.schema)]) if out else through
+
+    return rows.select("doc_id", "text").mapInArrow(pack, LISTS).groupBy("part").applyInArrow(merge_lists, LISTS)
+
+
+def covered(rows: DataFrame, k: int, parts: int) -> DataFrame:
+    """(doc_id, n, digest, held): for each row the size of its set, a digest of the set (null if empty), and how many of its shingles occur elsewhere."""
+
+    def count(group: pa.Table) -> pa.Table:
+        own = group.filter(pa.compute.is_valid(group.column("place")))
+        rest = group.filter(pa.compute.is_null(group.column("place")))
+        places = own.column("place").to_numpy()
+        held = np.zeros(max(places, default=0) + 1, np.int64)
+        held[places] = own.column("own").to_numpy()
+        for p, w in zip(_u(np.uint16, rest.column("places")), _u(np.uint32, rest.column("weights")), strict=True):
+            held[p] += w
+        return pa.table({"doc_id": own.column("doc_id"), "n": own.column("n"), "digest": own.column("digest"), "held": held[places]})
+
+    return settle(inverted(rows, k, parts, False).groupBy("chunk").applyInArrow(count, "doc_id long, n long, digest binary, held long"), "covered")
+
+
+def shortest(rows: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
+    """(doc_id, list): for each row that can have a similar one, its shortest inverted lists.
+
+    Of the n lists of a set, similar sets share need(n) at least, so they meet in one of the n - need(n) + 1 shortest of both, lists
+    being ordered by length and hash. Lists of one document only count among them but lead nowhere.
+    """
+
+    def choose(group: pa.Table) -> pa.Table:
+        place = group.column("place").fill_null(-2).to_numpy()
+        docs = group.filter(pa.array(place >= 0))
+        ids, sizes = dict(zip(docs.column("place").to_pylist(), docs.column("doc_id").to_pylist(), strict=True)), dict(zip(docs.column("place").to_pylist(), docs.column("n").to_pylist(), strict=True))
+        rest = group.filter(pa.array(place == -2))
+        parts_ = [np.full(len(h), p, np.uint64) << np.uint64(32) | h for p, h in zip(rest.column("part").to_pylist(), _u(np.uint32, rest.column("hashes")), strict=True)]
+        none = [np.empty(0, np.uint64)]
+        token, where_, length = np.concatenate([*none, *parts_]), np.concatenate([*none, *_u(np.uint16, rest.column("places"))]).astype(np.int64), np.concatenate([*none, *_u(np.uint32, rest.column("weights"))]).astype(np.int64)
+        several = where_ == SEVERAL
+        pairs = group.filter(pa.array(place == -1))
+        if pairs.num_rows:
+            order = np.argsort(token[several])
+            known, lengths = token[several][order], length[several][order]
+            t, p = np.concatenate(_u(np.uint64, pairs.column("hashes"))), np.concatenate(_u(np.uint16, pairs.column("places")))
+            token, where_, length = np.concatenate((token[~several], t)), np.concatenate((where_[~several], p.astype(np.int64))), np.concatenate((length[~several], lengths[np.searchsorted(known, t)]))
+        order = np.lexsort((token, length, where_))
+        token, where_ = token[order], where_[order]
+        start = np.flatnonzero(np.concatenate(([True], where_[1:] != where_[:-1]))) if len(where_) else np.empty(0, np.int64)
+        out_id, out_list = [], [token[:0]]
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(where_)], strict=True):
+            n = sizes[int(where_[a])]
+            take = b - a - need(n, percent) + 1  # lists of one document stand before these
+            if take > 0:
+                out_id += [ids[int(where_[a])]] * take
+                out_list.append(token[a : a + take])
+        return pa.table({"doc_id": pa.array(out_id, pa.int64()), "list": np.concatenate(out_list).view(np.int64)})
+
+    return settle(inverted(rows, k, parts, True).groupBy("chunk").applyInArrow(choose, "doc_id long, list long"), "lists")
 
 
 class Lists:
@@ -180,12 +279,19 @@ def _blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return rows.groupBy("block").applyInArrow(run, "a long, b long")
 
 
+def _parts(rows: DataFrame) -> int:
+    """Parts of the hash range: as many as tasks can run at once, more where there is more text."""
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-chars // PART_CHARS))
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs.
 
     Documents link when 100 * intersection >= percent * union of their sets of k-word shingles, lower-cased A-Z; the component
-    is the smallest id reachable by links. Documents with the same set meet in one class. Classes that can be similar share a
-    part of their sets (signatures); what shares parts, directly or by others, is a group. A group is one block, or several if
+    is the smallest id reachable by links. Documents with the same set meet in one class. First go documents too few of whose
+    shingles occur anywhere else; of what is left, similar sets meet in one of their shortest inverted lists, and what meets there,
+    directly or by others, is a group. A group is one block, or several if
     it is large; in each block every document is searched for by T-occurrence. A group of several blocks has its smallest
     document in all of them, and every document that isn't connected to that one is searched for in all blocks, so no link is
     lost. Null and empty texts have an empty set and link with nothing; rows without id are alone, with a null component;
@@ -194,18 +300,19 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     """
     lower = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), lower.alias("text"))
-    known = settle(profiles(rows, k, percent), "jaccard")
+    known = covered(rows, k, _parts(rows))
     some = known.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = settle(some.groupBy("digest").agg(F.min("doc_id").alias("first")), "jaccard")
-    firsts = some.join(classes.select("digest", F.col("first").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    shared = firsts.select("doc_id", F.explode("signatures").alias("signature"))
-    star = shared.withColumn("a", F.min("doc_id").over(Window.partitionBy("signature"))).where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    classes = settle(some.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "classes")
+    firsts = some.where(100 * F.col("held") >= percent * F.col("n")).groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    left = settle(rows.join(settle(firsts, "firsts"), "doc_id", "left_semi"), "left")
+    lists = shortest(left, k, percent, _parts(left))
+    heads = settle(lists.groupBy("list").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").drop("b"), "heads")
+    star = met(lists, heads.drop("n"), "list", hot_keys(heads, "list")).where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     groups = components(star, "groups")
-    # Merged at every size: the plan doesn't turn on whether the groups are few enough to broadcast.
-    texts = settle(rows.join(groups.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id"), "jaccard")
+    texts = settle(left.join(groups.withColumnRenamed("id", "doc_id"), "doc_id"), "jaccard")
     sizes = texts.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("bytes"))
-    sizes = settle(sizes.select("component", F.ceil(F.greatest(F.col("n") / block_docs, F.col("bytes") / block_bytes)).cast("int").alias("blocks")), "jaccard")
-    placed = texts.join(sizes, "component")
+    sizes = settle(sizes.select("component", "n", F.ceil(F.greatest(F.col("n") / block_docs, F.col("bytes") / block_bytes)).cast("int").alias("blocks")), "jaccard")
+    placed = met(texts, sizes.drop("n"), "component", hot_keys(sizes, "component"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     name = lambda i: F.concat_ws(":", F.col("component"), i)
@@ -224,8 +331,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         against = against.join(asked, "block").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select(F.concat_ws(":", "block", "t").alias("block"), "doc_id", "text", "query")
         edges = edges.unionByName(settle(_blocks(ask.unionByName(against), k, percent), "links"))
     roots = components(edges, "links")
-    known = known.select("doc_id", "n", "digest").join(classes, "digest", "left")
-    return known.join(roots.withColumnRenamed("id", "first"), "first", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "first", "doc_id").alias("component_id"))
+    led = classes.join(roots.withColumnRenamed("id", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("of_class"), "n")
+    led = settle(led, "classes")
+    out = met(known.select("doc_id", "n", "digest"), led.drop("n"), "digest", hot_keys(led, "digest"), "left").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "component", "doc_id")).alias("component_id"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

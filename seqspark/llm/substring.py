@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import only, pieces, settle, table
+from .common import SALTS, hot_keys, met, only, pieces, settle, table
 from .hashing import KNOWN, sliding_least, windows
 
 WINDOW = 50
@@ -83,8 +83,9 @@ def repeated(edges: DataFrame) -> DataFrame:
     each = edges.where("size(starts) > 0").select("doc_id", "mark", F.inline(F.arrays_zip("starts", "counts", "anchors", "keys")))
     each = each.select("doc_id", "mark", F.col("starts").alias("start"), F.col("counts").alias("n"), F.col("anchors").alias("anchor"), F.col("keys").alias("key"))
     # Partial counts by task first: an anchor that a third of all documents hold is one row of each task.
-    common = each.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    some = each.join(common, "anchor", "left_semi")
+    common = each.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("anchor", "n")
+    common = settle(common, "anchors")
+    some = met(each, common.select("anchor"), "anchor", hot_keys(common, "anchor"), "left_semi")
     order = Window.partitionBy("doc_id", "mark").orderBy("start")  # within one document
     before = F.when(F.lag("start").over(order) + F.lag("n").over(order) == F.col("start"), F.lag("key").over(order))
     after = F.when(F.lead("start").over(order) == F.col("start") + F.col("n"), F.lead("key").over(order))
@@ -96,7 +97,7 @@ def nodes_of(chains_: DataFrame) -> DataFrame:
     neighbour on both sides: one that is least and largest is the only one."""
     return settle(
         chains_.groupBy("key").agg(
-            F.min(F.struct("doc_id", "mark", "start")).alias("source"), F.max("doc_id").alias("last"), F.min("anchor").alias("anchor"), F.min("n").alias("n"),
+            F.min(F.struct("doc_id", "mark", "start")).alias("source"), F.max("doc_id").alias("last"), F.min("anchor").alias("anchor"), F.min("n").alias("n"), F.count(F.lit(1)).alias("held"),
             F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"),
         ),
         "nodes",
@@ -232,11 +233,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     base = chains(rows, window, seed, bits, full)
     some = repeated(base)
     nodes = nodes_of(some)
-    heads = settle(compacted(nodes).withColumnRenamed("head", "key").join(nodes.select("key", "source"), "key"), "heads")
+    heads = settle(compacted(nodes).withColumnRenamed("head", "key").join(nodes.select("key", "source", "held"), "key"), "heads")
+    hot = hot_keys(heads, "key", "held")
     forks = settle(branches(nodes), "forks")
     where_ = ["doc_id", "mark", "start"]
     # A path is met where its head is; whoever holds the head holds the path.
-    spans = some.select(*where_, "key").join(heads, "key").where(F.col("doc_id") > F.col("source.doc_id"))
+    spans = met(some.select(*where_, "key"), heads.drop("held"), "key", hot).where(F.col("doc_id") > F.col("source.doc_id"))
     spans = settle(spans.select(*where_, F.col("total").alias("n"), F.lit(PATH).alias("kind"), F.col("key").alias("ref"), F.lit(0).alias("place")), "spans")
     wants = lambda df, kind, n: df.select("source.doc_id", "source.mark", F.lit(kind).alias("kind"), "key", "source.start", F.col(n).alias("n"))
     whole = lambda df: df.select("doc_id", "mark", F.lit(DOCUMENT).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("n"))
@@ -246,8 +248,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     own = some.select(*where_, "key").join(forks.select("key", F.col("source.doc_id").alias("doc_id")), ["key", "doc_id"], "left_semi").join(parts, "key")
     own = own.select("doc_id", "mark", (F.col("start") + F.col("at")).alias("start"), "n", F.lit(BRANCH).alias("kind"), "ref", "place")
     words = texts.where(F.col("kind") != DOCUMENT).select("kind", F.col("key").alias("ref"), "words").dropDuplicates(["kind", "ref"])
+    # A path that very many documents repeat is there several times, for a share of them each.
+    marked = lambda df: df.join(F.broadcast(hot.select(F.col("key").alias("ref"), F.lit(SALTS).alias("salts"))), "ref", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    words = marked(words).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    salted = marked(spans.unionByName(own)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.col("salts")).cast("int")).drop("salts")
     part = F.array_join(F.slice(F.split("words", " ", -1), F.col("place") + 1, F.col("n") + F.lit(window - 1)), " ")
-    told = spans.unionByName(own).join(words, ["kind", "ref"]).select(*where_, "n", F.when(F.col("kind") == PATH, F.col("words")).otherwise(part).alias("words"))
+    told = salted.join(words, ["kind", "ref", "salt"]).select(*where_, "n", F.when(F.col("kind") == PATH, F.col("words")).otherwise(part).alias("words"))
     told = told.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n", "words")).alias("spans"))
     held = texts.where(F.col("kind") == DOCUMENT).select("doc_id", "mark", "words").dropDuplicates(["doc_id", "mark"]).join(told, ["doc_id", "mark"])
     cut = _removed(held, window, full)

@@ -369,12 +369,12 @@ def test_bpe_equals_the_library(spark):
         assert got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
-def brute_jaccard(rows, percent=90):
+def brute_jaccard(rows, percent=90, k=3):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
     for d, t in rows:
         w = WORD.findall((t or "").translate(low))
-        sets[d] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
     root = {d: d for d in sets}
 
     def find(d):
@@ -403,22 +403,34 @@ def families(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed, docs", [(0, 4096), (1, 5), (2, 3)])
-def test_jaccard_equals_brute_force(spark, seed, docs):
+@pytest.mark.parametrize("seed, docs, k, percent", [(0, 4096, 3, 90), (1, 5, 3, 90), (2, 3, 3, 90), (3, 4096, 5, 80), (4, 4, 5, 80), (5, 4096, 1, 60)])
+def test_jaccard_equals_brute_force(spark, seed, docs, k, percent):
     rows = families(seed)
-    got = jaccard.jaccard_components(odd(spark.createDataFrame(rows, "doc_id long, text string")), block_docs=docs)
-    assert {tuple(r) for r in got.collect()} == brute_jaccard(rows)
-
-
-def test_signatures_meet_for_all_similar_sets():
-    rng = np.random.default_rng(5)
-    for n in [*range(1, 25), 60, 200]:
-        for _ in range(10):
-            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-            for b in (a[1:], np.unique(np.concatenate((a[max(1, n // 25) :], rng.integers(0, 2**63, max(1, n // 25)).astype(np.uint64))))):
-                both = len(np.intersect1d(a, b))
-                if len(b) and 100 * both >= 90 * (len(a) + len(b) - both):
-                    assert set(jaccard.signatures(a)) & set(jaccard.signatures(b))
+    got = jaccard.jaccard_components(odd(spark.createDataFrame(rows, "doc_id long, text string")), block_docs=docs, k=k, percent=percent)
+    assert {tuple(r) for r in got.collect()} == brute_jaccard(rows, percent, k)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_similar_sets_meet_in_their_shortest_lists(spark, parts):
+    rows = families(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {d: set(jaccard.shingles((t or "").encode().split(), 3).tolist()) for d, t in rows}
+    holders = Counter(h for s in sets.values() for h in s)
+    got = {r["doc_id"]: (r["n"], r["held"]) for r in jaccard.covered(df, 3, parts).collect()}
+    assert got == {d: (len(s), sum(holders[h] > 1 for h in s)) for d, s in sets.items()}
+    lists = defaultdict(set)
+    for r in jaccard.shortest(df, 3, 80, parts).collect():
+        lists[r["doc_id"]].add(r["list"])
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            assert lists[a] & lists[b]
+
+
+def test_jaccard_of_repeated_ids_and_null_ids(spark):
+    base = " ".join(f"q{i}" for i in range(60))
+    rows = [(5, base), (5, "quite another text of its own"), (5, base), (None, base), (8, base + " end"), (3, "quite another text of its own"), (9, ""), (9, None)]
+    got = sorted(((r[0] or -1, r[1], r[2] or -1) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted([(5, 58, 3), (5, 4, 3), (5, 58, 3), (-1, 58, -1), (8, 59, 3), (3, 4, 3), (9, 0, 9), (9, 0, 9)])
 
 
 def test_t_occurrence_search_is_exact():
