@@ -83,57 +83,73 @@ def dual(a: CoverTree, b: CoverTree, reach: float, same: bool) -> tuple[np.ndarr
     return x, y
 
 
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows divided by their largest component, so that squares neither overflow nor vanish; directions stay."""
+    return m / np.abs(m).max(1, keepdims=True)
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    m = scaled(m)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosine of rows in double precision."""
+    """Cosine of scaled rows in double precision."""
     return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
 
 
-def _valid(v: np.ndarray) -> bool:
-    return bool(len(v) and np.isfinite(v).all() and v.any())
+KEY = ("label", "width", "cell_a", "part_a", "cell_b", "part_b")
 
 
 def _blocks(rows: DataFrame, least: float) -> DataFrame:
-    """(vec, n, other) for the blocks of rows (block, half, vec, embedding): the number of links that vec has in the block, and the
+    """(vec, n, other) for the blocks of rows (KEY, half, vec, embedding): the number of links that vec has in the block, and the
     smallest vec that it is connected to in it."""
     reach = sqrt(max(0.0, 2.0 - 2.0 * least))
 
     def run(block: pa.Table) -> pa.Table:
-        half = np.array(block.column("half").to_pylist())
-        one, two = block.column("block")[0].as_py().split("|")[1:]
-        same = one == two
-        ids = np.array(block.column("vec").to_pylist(), np.int64)
-        raw = [np.array(v, np.float64) for v in block.column("embedding").to_pylist()]
+        half = block.column("half").to_numpy()
+        at = [block.column(k)[0].as_py() for k in KEY]
+        same = at[2:4] == at[4:6]
+        ids = block.column("vec").to_numpy()
+        m = scaled(matrix(block.column("embedding"), at[1]))
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for width in {len(v) for v in raw}:  # vectors of other lengths have no cosine
-            own = np.array([len(v) == width for v in raw])
-            first, second = np.flatnonzero(own & (half == 0)), np.flatnonzero(own & (half == 1))
-            if not len(first) or not (same or len(second)):
-                continue
-            vectors = lambda at: np.array([raw[i] for i in at])
-            unit = lambda m: m / np.abs(m).max(1, keepdims=True) / np.linalg.norm(m / np.abs(m).max(1, keepdims=True), axis=1, keepdims=True)
-            m = vectors(first)
-            tree = CoverTree(unit(m))
-            if not same:
-                n = vectors(second)
-                i, j = dual(tree, CoverTree(unit(n)), reach, False)
-                to = second
-            else:
-                i, j = dual(tree, tree, reach, True)
-                n, to = m, first
-            hit = np.concatenate([cosines(m[i[k : k + 65536]], n[j[k : k + 65536]]) >= least for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
+        first, second = np.flatnonzero(half == 0), np.flatnonzero(half == 1)
+        i, j = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(first) and (same or len(second)):
+            tree = CoverTree(unit(m[first]))
+            to = first if same else second
+            i, j = dual(tree, tree if same else CoverTree(unit(m[second])), reach, same)
+            x, y = m[first], m[to]
+            hit = np.concatenate([cosines(x[i[k : k + 65536]], y[j[k : k + 65536]]) >= least for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
             i, j = first[i[hit]], to[j[hit]]
-            links += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-            while len(i):  # labels sink to the least of each connected part
-                before = label.copy()
-                np.minimum.at(label, i, label[j])
-                np.minimum.at(label, j, label[i])
-                label = label[label]
-                if np.array_equal(before, label):
-                    break
+        links += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+        while len(i):  # labels sink to the least of each connected part
+            before = label.copy()
+            np.minimum.at(label, i, label[j])
+            np.minimum.at(label, j, label[i])
+            label = label[label]
+            if np.array_equal(before, label):
+                break
         some = np.flatnonzero(links)
         return pa.table({"vec": ids[some], "n": links[some], "other": ids[label[some]]})
 
-    return rows.groupBy("block").applyInArrow(run, "vec long, n long, other long")
+    return rows.groupBy(*KEY).applyInArrow(run, "vec long, n long, other long")
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of a list column of one width, in double precision."""
+    flat = pa.chunked_array(column).combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(flat, pa.ChunkedArray):
+        flat = pa.concat_arrays(flat.chunks)
+    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
+
+
+def by_kind(batch: pa.RecordBatch) -> list[tuple]:
+    """(label, width, places) of the rows of a batch."""
+    kinds: dict[tuple, list[int]] = {}
+    for i, k in enumerate(zip(batch.column("label").to_pylist(), batch.column("width").to_pylist(), strict=True)):
+        kinds.setdefault(k, []).append(i)
+    return [(lab, width, np.array(at)) for (lab, width), at in kinds.items()]
 
 
 def near_vectors(vectors: DataFrame, embedding: str = "embedding", label: str = "label", vec_id: str = "vec_id", least: float = LEAST_COSINE, tree_rows: int = TREE_ROWS, most_pivots: int = MOST_PIVOTS) -> DataFrame:
@@ -142,75 +158,89 @@ def near_vectors(vectors: DataFrame, embedding: str = "embedding", label: str =
     Vectors with the same label link when their cosine, in double precision, is at least least. The vectors of a label go to
     the nearest of its pivots, a cell to one block or several of about tree_rows rows, and each pair of blocks that can hold
     links becomes a task: pairs of cells are left out by their covering radii, rows by their distance to the other
-    cell's pivot. In a task the trees of both blocks are walked together. Every pair of vectors is met once, so links add up.
-    Null, zero and non-finite vectors and those with a null label link with nothing; equal rows are one vector; rows with one
-    vec_id and different vectors are counted together, as one vertex; rows without vec_id link with nothing; other columns don't matter.
+    cell's pivot and to the plane halfway between both pivots. In a task the trees of both blocks are walked together. Every pair
+    of vectors is met once, so links add up. Vectors of different lengths have no cosine. Null, zero and non-finite vectors, those
+    with null components and those with a null label link with nothing; equal rows are one vector; rows with one vec_id and
+    different vectors are counted together, as one vertex; rows without vec_id link with nothing; an empty table gives no rows;
+    other columns don't matter.
     """
     spark = vectors.sparkSession
     all_ = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("embedding"))
     sound = F.size("embedding") > 0
     sound = sound & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    rows = settle(all_.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound, F.lit(False))).distinct(), "vectors")
+    rows = all_.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound, F.lit(False))).distinct()
+    rows = settle(rows.withColumn("width", F.size("embedding")), "vectors")
     total = rows.count()
     share = min(1.0, most_pivots / 2 / max(1, total), 1 / tree_rows)
     pick = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    picked = rows.where(pick).limit(most_pivots).collect()  # at most most_pivots rows
     pivots: dict = {}
-    for r in picked:
-        v = np.array(r["embedding"], np.float64)
-        pivots.setdefault((r["label"], len(v)), []).append(v / np.linalg.norm(v))
+    for r in rows.where(pick).limit(most_pivots).collect():  # at most most_pivots rows
+        pivots.setdefault((r["label"], r["width"]), []).append(unit(np.array([r["embedding"]], np.float64))[0])
     held = spark.sparkContext.broadcast({k: np.array(v) for k, v in pivots.items()})
 
+    def distances(u: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (u @ p.T)))
+
     def assign(batches):
         for batch in batches:
-            labels, vecs = batch.column("label").to_pylist(), batch.column("embedding").to_pylist()
-            cell, gap = [], []
-            for lab, v in zip(labels, vecs, strict=True):
-                p = held.value.get((lab, len(v)))
-                if p is None:
-                    cell.append(-1)
-                    gap.append(2.0)
-                else:
-                    u = np.array(v, np.float64)
-                    d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (p @ (u / np.linalg.norm(u)))))
-                    cell.append(int(d.argmin()))
-                    gap.append(float(d.min()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(gap, pa.float64())], names=[*batch.schema.names, "cell", "gap"])
+            cell, gap = np.full(batch.num_rows, -1, np.int32), np.full(batch.num_rows, 2.0)
+            for lab, width, at in by_kind(batch):
+                if (p := held.value.get((lab, width))) is not None:
+                    d = distances(unit(matrix(batch.column("embedding").take(pa.array(at)), width)), p)
+                    cell[at], gap[at] = d.argmin(1), d.min(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(gap)], names=[*batch.schema.names, "cell", "gap"])
 
     kind = dict(rows.dtypes)
-    rows = rows.mapInArrow(assign, f"vec_id long, label {kind['label']}, embedding {kind['embedding']}, cell int, gap double").withColumn("width", F.size("embedding"))
-    rows = settle(rows, "vectors")
+    rows = settle(rows.mapInArrow(assign, f"vec_id long, label {kind['label']}, embedding {kind['embedding']}, width int, cell int, gap double"), "vectors")
     cells = settle(rows.groupBy("label", "width", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).withColumn("blocks", F.ceil(F.col("n") / tree_rows).cast("int")), "vectors")
     # Cells with pivots are as many as pivots at most; those without stand alone for their label.
-    known = {(r["label"], r["width"], r["cell"]): (r["blocks"], r["radius"]) for r in cells.where("cell >= 0").collect()}
+    known = {k: (np.full(len(p), -4.0), np.zeros(len(p), np.int64), distances(p, p)) for k, p in held.value.items()}
+    for r in cells.where("cell >= 0").collect():
+        radius, blocks, _ = known[r["label"], r["width"]]
+        radius[r["cell"]], blocks[r["cell"]] = r["radius"], r["blocks"]
     table_ = spark.sparkContext.broadcast(known)
     reach = sqrt(max(0.0, 2.0 - 2.0 * least)) + SLACK
 
     def spread(batches):
         for batch in batches:
-            labels, vecs, ids, cell, gap, blocks = (batch.column(n).to_pylist() for n in ("label", "embedding", "vec_id", "cell", "gap", "blocks"))
-            at, names, halves = [], [], []
-            for i, (lab, v, d, c, g, nb) in enumerate(zip(labels, vecs, ids, cell, gap, blocks, strict=True)):
-                mine = hash((d, 7)) % nb if nb > 1 else 0
-                targets = [(c, b) for b in range(nb)]
-                if c >= 0:
-                    p = held.value[lab, len(v)]
-                    u = np.array(v, np.float64)
-                    far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (p @ (u / np.linalg.norm(u)))))
-                    for o in range(len(p)):
-                        if o != c and (got := table_.value.get((lab, len(v), o))) and far[o] <= got[1] + reach and far[o] <= g + 2 * reach:
-                            targets += [(o, b) for b in range(got[0])]
-                for o, b in targets:
-                    one, two = sorted(((c, mine), (o, b)))
-                    at.append(i)
-                    names.append(f"{lab}:{len(v)}|{one[0]}.{one[1]}|{two[0]}.{two[1]}")
-                    halves.append(int((c, mine) != one))
-            if at:
-                take = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(halves, pa.int32()), take.column("vec_id"), take.column("embedding")], names=["block", "half", "vec", "embedding"])
-
-    joined = rows.join(cells.select("label", "width", "cell", "blocks"), ["label", "width", "cell"]).select("label", "embedding", "vec_id", "cell", "gap", "blocks")
-    spreaded = joined.mapInArrow(spread, f"block string, half int, vec long, embedding {kind['embedding']}")
+            ids, cell, gap, blocks = (batch.column(n).to_numpy() for n in ("vec_id", "cell", "gap", "blocks"))
+            mine = np.array([hash((d, 7)) % n for d, n in zip(ids.tolist(), blocks.tolist(), strict=True)], np.int64)
+            at, cells_, parts = [], [], []
+            for lab, width, own in by_kind(batch):
+                c, g = cell[own], gap[own]
+                if (p := held.value.get((lab, width))) is None:
+                    row, other, number = np.arange(len(own)), c, blocks[own]
+                else:
+                    radius, sizes, between = table_.value[lab, width]
+                    far = distances(unit(matrix(batch.column("embedding").take(pa.array(own)), width)), p)
+                    # A vector of the other cell is nearer to its pivot: beyond the plane halfway, and within its cell's radius.
+                    can = (far <= radius[None, :] + reach) & (far**2 - (g**2)[:, None] <= 2.0 * reach * between[c] + SLACK) & (sizes > 0)[None, :]
+                    can[np.arange(len(own)), c] = True
+                    row, other = np.nonzero(can)
+                    number = sizes[other]
+                row, other, number = np.repeat(row, number), np.repeat(other, number), number
+                part = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(number)[:-1])), number)
+                at.append(own[row])
+                cells_.append(other)
+                parts.append(part)
+            if not at or not sum(map(len, at)):
+                continue
+            at, other, part = np.concatenate(at), np.concatenate(cells_), np.concatenate(parts)
+            c, m = cell[at], mine[at]
+            swap = (other < c) | ((other == c) & (part < m))
+            take = batch.take(pa.array(at))
+            one, two = np.where(swap, other, c), np.where(swap, c, other)
+            arrays = [one, np.where(swap, part, m), two, np.where(swap, m, part), swap]
+            for k in range(0, len(at), 4096):
+                piece = take.slice(k, 4096)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("label"), piece.column("width"), *[pa.array(x[k : k + 4096].astype(np.int32)) for x in arrays], piece.column("vec_id"), piece.column("embedding")],
+                    names=[*KEY, "half", "vec", "embedding"],
+                )
+
+    joined = rows.join(cells.select("label", "width", "cell", "blocks"), ["label", "width", "cell"]).select("label", "width", "embedding", "vec_id", "cell", "gap", "blocks")
+    key = ", ".join(f"{k} {kind['label'] if k == 'label' else 'int'}" for k in KEY)
+    spreaded = joined.mapInArrow(spread, f"{key}, half int, vec long, embedding {kind['embedding']}")
     links = settle(_blocks(spreaded, least), "vectors")
     near = components(links.select(F.col("vec").alias("a"), F.col("other").alias("b")), "vectors")
     counts = links.groupBy("vec").agg(F.sum("n").alias("n_links"))

@@ -24,11 +24,18 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
-#: Class: what its strings consist of, the letters that are counted, bits of entropy at which a window is a secret.
+#: Class: what its strings consist of, the letters that are counted, kinds of letters that a string must hold, bits of entropy at
+#: which a window is a secret.
 CLASSES = {
-    "hex": (r"[0-9A-Fa-f]{20,}", "0123456789abcdefABCDEF", 3.05),
-    "base64": (r"[A-Za-z0-9+/_=-]{20,}", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", 3.95),
+    "hex": (r"[0-9A-Fa-f]{20,}", "0123456789abcdefABCDEF", ("[0-9]", "[A-Fa-f]"), 3.05),
+    "lower": (r"[a-z0-9]{20,}", "abcdefghijklmnopqrstuvwxyz0123456789", ("[0-9]", "[g-z]"), 3.6),
+    "upper": (r"[A-Z0-9]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", ("[0-9]", "[G-Z]"), 3.6),
+    "base64": (r"[A-Za-z0-9+/_=-]{20,}", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", ("[0-9]", "[A-Z]", "[a-z]"), 3.95),
 }
+#: Counters of a window lie in longs, this many in each, of five bits.
+PACKED = 12
+#: Code points of the pieces that a text is cut into before parts of it are taken.
+PIECE = 4096
 #: Strings that look random and aren't secrets: identifiers in the form of UUIDs, place holders, runs of one character.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
@@ -37,50 +44,89 @@ ALLOW = (
 )
 
 
+def let(value: Column, then) -> Column:
+    """then(value), value being worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(values: Column, op) -> Column:
+    """Running totals of an array of non-negative ints by op (sum or greatest), in time n * sqrt(n): by blocks, then over the blocks."""
+    ints = F.expr("cast(array() as array<int>)")
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0))
+    grow = lambda acc, x: F.concat(acc, F.array(op(last(acc), x)))
+
+    def total(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda i: F.slice(v, i * size + 1, size))
+        inside = F.transform(blocks, lambda block: F.aggregate(block, ints, grow))
+        carried = lambda rel: F.aggregate(rel, ints, lambda acc, r: grow(acc, last(r)))
+        add = lambda rel: let(carried(rel), lambda tops: F.flatten(F.transform(rel, lambda r, i: F.transform(r, lambda x: op(F.coalesce(F.get(tops, i - 1), F.lit(0)), x)))))
+        return let(inside, add)
+
+    return let(values, lambda v: F.when(F.size(v) > 0, total(v)).otherwise(ints))
+
+
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches from left to right: array of (start, end, value), in code points; value is the group's.
 
     Matches and what lies between them alternate, so running sums of their lengths are the places.
     """
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    zipped = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("m")))
+    every = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    steps = F.zip_with(F.split(text, pattern, -1), every(0), lambda g, m: F.when(m.isNull(), F.lit(0)).otherwise(F.length(g) + F.length(m)))
+    ends = F.zip_with(running(steps, lambda a, b: a + b), every(0), lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+    ends = F.filter(ends, lambda x: x["value"].isNotNull())
     if group:
-        zipped = F.zip_with(zipped, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda z, v: F.struct(z["gap"].alias("gap"), z["len"].alias("len"), v.alias("m")))
-    walk = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["len"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end"), x["m"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), walk).otherwise(none)
+        ends = F.zip_with(ends, every(group), lambda x, v: F.struct(x["start"].alias("start"), x["end"].alias("end"), v.alias("value")))
+    return F.when(text.rlike(pattern), ends).otherwise(none)
 
 
 def most_entropy(value: Column, letters: str, window: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits, of any window of the string; letters are all that can occur in it.
 
-    One pass: a window's counts follow from those before by the letter that enters and the one that leaves, and so does
-    sum(c * log2(c)), from which the entropy is log2(window) - sum / window.
+    One pass over the codes of its letters: a window's counts follow from those before by the letter that enters and the one that
+    leaves, and so does sum(c * log2(c)), from which the entropy is log2(window) - sum / window. Counts are packed into
+    a few longs, so a step touches two of them.
     """
-    weigh = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    at = lambda i: F.position(F.substring(value, i, F.lit(1)), F.lit(letters))
-    state = lambda counts, s, least: F.struct(counts.alias("counts"), s.alias("s"), least.alias("least"))
+    weights = F.array(*[F.lit(c * log2(c) if c else 0.0) for c in range(window + 1)])
+    weigh = lambda c: F.get(weights, c)
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), 5 * (k % PACKED))
+    count = lambda counts, k: F.call_function("shiftright", F.get(counts, F.floor(k / PACKED).cast("int")), 5 * (k % PACKED)).bitwiseAND(F.lit(31)).cast("int")
+    change = lambda counts, k, by: F.transform(counts, lambda c, j: F.when(j == F.floor(k / PACKED), c + by * one(k)).otherwise(c))
+    state = lambda counts, s, least, at: F.struct(counts.alias("counts"), s.alias("s"), least.alias("least"), at.alias("at"))
+
+    def steps(codes: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            gone = F.get(codes, acc["at"] - window)  # null while the first window fills
+            less = F.when(gone.isNotNull(), count(acc["counts"], gone))
+            left = F.when(gone.isNotNull(), change(acc["counts"], gone, -1)).otherwise(acc["counts"])
+            s = acc["s"] + F.when(gone.isNotNull(), weigh(less - 1) - weigh(less)).otherwise(F.lit(0.0))
+
+            def enter(left: Column) -> Column:
+                more = count(left, k)
+                now = s + weigh(more + 1) - weigh(more)
+                return state(change(left, k, 1), now, F.when(acc["at"] >= window - 1, F.least(acc["least"], now)).otherwise(acc["least"]), acc["at"] + 1)
+
+            return let(left, enter)
+
+        start = state(F.array_repeat(F.lit(0).cast("long"), -(-len(letters) // PACKED)), F.lit(0.0), F.lit(window * 64.0), F.lit(0))
+        return F.aggregate(codes, start, step, lambda acc: F.lit(log2(window)) - acc["least"] / window)
+
+    codes = F.transform(F.slice(F.split(value, "", -1), 1, F.length(value)), lambda c: (F.position(c, F.lit(letters)) - 1).cast("int"))
+    return let(codes, steps)
+
 
-    def step(acc: Column, i: Column) -> Column:
-        counts, out = acc["counts"], at(i - window)
-        gone = F.when(i > window, out).otherwise(F.lit(0))
-        less = F.when(gone > 0, F.element_at(counts, F.greatest(gone, F.lit(1)))).otherwise(F.lit(0))
-        left = F.when(gone > 0, F.transform(counts, lambda c, j: F.when(j + 1 == gone, c - 1).otherwise(c))).otherwise(counts)
-        s = acc["s"] - weigh(less) + weigh(less - 1)
-        more = F.element_at(left, at(i))
-        now = F.transform(left, lambda c, j: F.when(j + 1 == at(i), c + 1).otherwise(c))
-        s = s - weigh(more) + weigh(more + 1)
-        return state(now, s, F.when(i >= window, F.least(acc["least"], s)).otherwise(acc["least"]))
+def untouched(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of others; both are ascending and without overlaps among themselves.
 
-    start = state(F.array_repeat(F.lit(0), len(letters)), F.lit(0.0), F.lit(window * 64.0))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda acc: F.lit(log2(window)) - acc["least"] / window)
+    Sorted together, others by their start and spans by their last place, a span comes after as many of others as begin before its
+    end; the last of these is the only one that has to be looked at.
+    """
+    a = F.transform(spans, lambda x, i: F.struct((x["end"] - 1).alias("at"), F.lit(1).alias("kind"), i.alias("i")))
+    b = F.transform(others, lambda x: F.struct(x["start"].alias("at"), F.lit(0).alias("kind"), F.lit(0).alias("i")))
+    ahead = lambda both: F.filter(F.transform(both, lambda x, j: F.when(x["kind"] == 1, j - x["i"])), lambda n: n.isNotNull())
+    free = lambda n: F.filter(spans, lambda x, i: ~F.coalesce(F.get(others, F.get(n, i) - 1)["end"] > x["start"], F.lit(False)))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), let(F.array_sort(F.concat(a, b)), lambda both: let(ahead(both), free))).otherwise(spans)
 
 
 def suppressed(value: Column, allow: tuple[str, ...] = ALLOW) -> Column:
@@ -90,34 +136,52 @@ def suppressed(value: Column, allow: tuple[str, ...] = ALLOW) -> Column:
     return out
 
 
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, classes: dict = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """The rows of docs with a column found: array of (start, order, end) by start, then kind, order being the place in KINDS.
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def scan(docs: DataFrame, text: str = "text", out: str = "found", window: int = WINDOW, classes: dict = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+    """The rows of docs with a column out: array of (start, order, end) by start, then kind, order being the place in KINDS.
 
     Kinds assign, access and hex are the leftmost non-overlapping matches of each pattern, those that are too short dropped.
     Kind entropy: a maximal string of a class in which some window of 20 characters has at least the entropy of the class,
-    unless the allow-list knows it or it overlaps a span of another kind; strings of class base64 hold digits and letters of
-    both cases. Places count code points, the end is exclusive. Null and empty texts have no spans; whole texts are scanned;
-    repeated rows each give a row; columns named like text and doc_id are the only ones that matter.
+    unless the allow-list knows it or it overlaps a span of another kind; strings must hold the kinds of letters of their class.
+    Places count code points, the end is exclusive. Null and empty texts have no spans; whole texts are scanned, in time that
+    grows with their length (matches: n * sqrt(n)); repeated rows each give a row; an empty table gives none. Other columns stay
+    as they are, whatever their names; a column named like out is refused.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    if out.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {out} already")
     span = lambda k: lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))
-    base = docs.withColumn(
-        "_base",
-        F.concat(
-            F.transform(F.filter(found(body, ASSIGN, 2), lambda x: F.length(x["value"]) >= ASSIGN_LEAST), span(0)),
-            F.transform(found(body, ACCESS), span(1)),
-            F.transform(found(body, HEX), span(2)),
-        ),
-    )
-    for name, (pattern, _, _) in classes.items():
-        mixed = (lambda v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")) if name == "base64" else (lambda v: v.rlike("[0-9]") & v.rlike("[A-Fa-f]"))
-        free = lambda x: ~F.exists(F.col("_base"), lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])) & ~suppressed(x["value"], allow)
-        base = base.withColumn(f"_{name}", F.filter(found(body, pattern), (lambda mixed, free: lambda x: mixed(x["value"]) & free(x))(mixed, free)))
-    extra = []
-    for name, (_, letters, bits) in classes.items():
-        hot = F.filter(F.col(f"_{name}"), (lambda letters, bits: lambda x: most_entropy(x["value"], letters, window) >= bits)(letters, bits))
-        extra.append(F.transform(hot, span(3)))
-    return base.withColumn("found", F.array_sort(F.array_distinct(F.concat("_base", *extra)))).drop("_base", *[f"_{n}" for n in classes])
+    own, held = fresh(docs, "own"), fresh(docs, "held")
+    body = F.coalesce(F.col(text), F.lit(""))
+    base = [F.filter(found(body, ASSIGN, 2), lambda x: F.length(x["value"]) >= ASSIGN_LEAST), found(body, ACCESS), found(body, HEX)]
+    rows = docs.withColumn(held, F.struct(*[c.alias(f"k{k}") for k, c in enumerate(base)]))
+    some = []
+    for pattern, _, kinds, _ in classes.values():
+        sound = (lambda kinds: lambda x: _all([x["value"].rlike(k) for k in kinds]) & ~suppressed(x["value"], allow))(kinds)
+        got = F.filter(found(body, pattern), sound)
+        for k in range(len(base)):
+            got = let(got, (lambda k: lambda g: untouched(g, F.col(held)[f"k{k}"]))(k))
+        some.append(got)
+    rows = rows.withColumn(own, F.struct(*[c.alias(f"c{i}") for i, c in enumerate(some)]))
+    hot = []
+    for i, (_, letters, _, bits) in enumerate(classes.values()):
+        hot.append(F.transform(F.filter(F.col(own)[f"c{i}"], (lambda letters, bits: lambda x: most_entropy(x["value"], letters, window) >= bits)(letters, bits)), span(3)))
+    every = F.array_sort(F.concat(*[F.transform(F.col(held)[f"k{k}"], span(k)) for k in range(len(base))], *hot))
+    once = let(every, lambda e: F.filter(e, lambda x, i: ~F.coalesce(F.get(e, i - 1) == x, F.lit(False))))
+    return rows.withColumn(out, once).drop(own, held)
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
 
 
 def listed(spans: Column) -> Column:
@@ -127,16 +191,23 @@ def listed(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span replaced by a mark; spans that overlap give one mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, x: F.when(x["end"] <= acc["at"], acc).otherwise(
-        F.struct(
-            x["end"].alias("at"),
-            F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        )
-    )
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """The text with every span (ascending by start) replaced by a mark; spans that overlap give one mark."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)))
+
+    def cut(held: Column) -> Column:
+        piece = lambda at: F.floor(at / PIECE).cast("int")
+        between = lambda a, b: F.substring(F.array_join(F.slice(held, piece(a) + 1, piece(b) - piece(a) + 1), ""), a % PIECE + 1, b - a)
+
+        def marked(far: Column) -> Column:
+            # A span begins a mark if it begins where all before have ended; the mark ends where the next begins or all have.
+            new = lambda x, i: (i == 0) | (x["start"] >= F.get(far, i - 1))
+            begins = F.filter(F.transform(spans, lambda x, i: F.when(new(x, i), F.struct(F.coalesce(F.get(far, i - 1), F.lit(0)).alias("a"), x["start"].alias("b")))), lambda x: x.isNotNull())
+            head = F.array_join(F.transform(begins, lambda x: between(x["a"], x["b"])), mark)
+            return F.concat(head, F.lit(mark), between(F.element_at(far, -1), F.length(text)))
+
+        return let(running(F.transform(spans, lambda x: x["end"]), F.greatest), marked)
+
+    return F.when(F.size(spans) > 0, let(pieces, cut)).otherwise(text)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,8 +238,8 @@ def _sql() -> str:
     allow = f"NOT regexp_matches(x.v, '{ALLOW[0]}') AND NOT regexp_matches(x.v, '{ALLOW[1]}') AND replace(x.v, x.v[1], '') <> ''"
     free = "len(list_filter(base, lambda b: x.s < b.e AND b.s < x.e)) = 0"
     extra = []
-    for name, (pattern, letters, least) in CLASSES.items():
-        mixed = "regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Z]') AND regexp_matches(x.v, '[a-z]')" if name == "base64" else "regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Fa-f]')"
+    for pattern, letters, kinds, least in CLASSES.values():
+        mixed = " AND ".join(f"regexp_matches(x.v, '{k}')" for k in kinds)
         extra.append(f"list_filter({rows(pattern, 0, 'true', 3)}, lambda x: {mixed} AND {free} AND {allow} AND {bits(letters)} >= {least})")
     kinds = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
     join = lambda spans: f"coalesce(array_to_string(list_transform({spans}, lambda x: {kinds}[x.k + 1] || ':' || x.s || ':' || x.e), ','), '')"
@@ -178,7 +249,7 @@ def _sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 b AS (SELECT doc_id, body, {base} AS base FROM d),
-e AS (SELECT doc_id, list_sort({cut('base')}) AS base, list_sort(list_distinct(list_concat({cut('base')}, {cut(f'list_concat({extra[0]}, {extra[1]})')}))) AS spans FROM b)
+e AS (SELECT doc_id, list_sort({cut('base')}) AS base, list_sort(list_distinct(list_concat({cut('base')}, {cut('list_concat(list_concat({}, {}), list_concat({}, {}))'.format(*extra))}))) AS spans FROM b)
 SELECT doc_id, {count(0)} AS n_assign, {count(1)} AS n_access, {count(2)} AS n_hex, sha256({join('base')}) AS base_sha256, {join('spans')} AS spans FROM e"""
 
 

@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -474,7 +475,7 @@ def test_secrets_base_equals_python(spark):
 
 def test_entropy_equals_its_definition(spark):
     values = ["R4nd0mZq81LkPw0vXyT7mBc2", "a" * 25, "ab" * 12, "abcdefghijklmnopqrst"]
-    _, letters, _ = secrets.CLASSES["base64"]
+    letters = secrets.CLASSES["base64"][1]
     df = spark.createDataFrame([(v,) for v in values], "v string")
     got = [r[0] for r in df.select(secrets.most_entropy(F.col("v"), letters)).collect()]
     entropy = lambda w: -sum(c / 20 * np.log2(c / 20) for c in Counter(w).values())
@@ -529,3 +530,45 @@ def test_pipeline_drops_near_copies_of_five_words(spark):
     assert alike(rows[4], rows[20], 5) >= 0.8 and alike(rows[4], rows[20], 3) < 0.9 and alike(rows[5], rows[21], 5) < 0.8
     got = {r["doc_id"] for r in corpus.near_duplicates(spark, documents(spark, rows), "").collect()}
     assert got == set(range(22)) - {20}
+
+
+def test_secrets_of_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(4)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    many = "token=abcdef; " * 100_000
+    rows = [(1, run), (2, many), (3, "key " + run[:40].lower() + " end"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_hex", F.lit("x")).withColumn("own", F.lit("y")).withColumn("held", F.lit("z"))
+    start = time.time()
+    out = secrets.scan(df, out="spans")
+    got = {r["doc_id"]: r for r in out.withColumn("clean", secrets.redact(F.col("text"), F.col("spans"))).collect()}
+    assert time.time() - start < 60
+    assert tuple(got[1]["spans"][0]) == (0, 3, 1_000_000) and got[1]["clean"] == "[SECRET]"
+    assert [tuple(x) for x in got[2]["spans"]] == [(14 * i, 0, 14 * i + 12) for i in range(100_000)]
+    assert got[2]["clean"] == "[SECRET]; " * 100_000 and got[4]["spans"] == [] and got[4]["clean"] is None
+    assert {(r["_hex"], r["own"], r["held"]) for r in got.values()} == {("x", "y", "z")}
+    with pytest.raises(ValueError):
+        secrets.scan(df, out="held")
+
+
+def test_running_totals_and_overlaps(spark):
+    rng = random.Random(1)
+    for n in (0, 1, 2, 3, 10, 257):
+        v = [rng.randrange(50) for _ in range(n)]
+        df = spark.createDataFrame([(v,)], "v array<int>")
+        got = df.select(secrets.running(F.col("v"), lambda a, b: a + b).alias("s"), secrets.running(F.col("v"), F.greatest).alias("m")).first()
+        assert (got["s"], got["m"]) == (list(itertools.accumulate(v)), list(itertools.accumulate(v, max)))
+    spans = lambda cuts: [(a, b, "") for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+    for _ in range(20):
+        x, y = (spans(sorted(rng.sample(range(60), 2 * rng.randrange(1, 7)))) for _ in range(2))
+        df = spark.createDataFrame([(x, y)], "x array<struct<start:int,end:int,value:string>>, y array<struct<start:int,end:int,value:string>>")
+        got = [tuple(r) for r in df.select(secrets.untouched(F.col("x"), F.col("y"))).first()[0]]
+        assert got == [(a, b, "") for a, b, _ in x if not any(a < d and c < b for c, d, _ in y)]
+
+
+def test_near_vectors_of_extreme_sizes_odd_labels_and_empty_tables(spark):
+    rows = [(1, [1e200, 0.0], "a|b"), (2, [1e200, 1.0], "a|b"), (3, [1e-200, 0.0], "a|b"), (4, [1e-200, 0.0], "a|b"), (5, [5e-324, 0.0], "a"), (6, [1e308, 1e308], "a"), (7, [1.0, 1.0], "a"), (7, [1.0, 1.0], "a"), (None, [1.0, 1.0], "a"), (8, [1.0, 1.0, 1.0], "a"), (9, [1.0], "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumn("width", F.lit(9)).withColumn("cell", F.lit("c")).withColumn("vec", F.lit(None))
+    for tree_rows in (1, 2, 1024):
+        got = sorted(((r[0] or 0, *r[1:3]) for r in embeddings.near_vectors(df, tree_rows=tree_rows).collect()), key=str)
+        assert got == sorted([(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5), (6, 1, 6), (7, 1, 6), (7, 1, 6), (0, 0, None), (8, 0, 8), (9, 0, 9)], key=str)
+    assert embeddings.near_vectors(df.limit(0)).count() == 0
