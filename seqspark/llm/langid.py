@@ -11,221 +11,212 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, keeps, only, pieces, table
+from .common import only, pieces, table
 
 UNKNOWN = "und"
-#: What the network is trained on for each language: documents, words of each document spread over its whole text, words.
-SAMPLE_DOCS, SAMPLE_WORDS, TRAIN_WORDS = 400, 60, 12_000
-HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 3, 256, 0.01, 11
-LONGEST = 48
-#: Words that a reader remembers, and languages for which batches have their full size: with more, both shrink by as much, which
-#: changes memory only.
-MOST_WORDS, WIDE = 400_000, 64
-#: ASCII that isn't a letter parts words: it tells nothing of the language.
-PART = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-
-
-def words_of(text: str) -> list[bytes]:
-    """Lower-case words in UTF-8; longer ones fall into pieces."""
-    out = text.lower().encode("utf-8").translate(PART).split()
-    if max(map(len, out), default=0) > LONGEST:
-        out = [w[i : i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
-    return out
-
-
-def shrunk(size: int, languages: int) -> int:
-    return max(1, size * WIDE // max(WIDE, languages))
+#: What the network is trained on: documents of each language at most, stretches of each document spread over its whole text.
+SAMPLE_DOCS, SAMPLE_STRETCHES, LENGTH = 400, 4, 48
+#: Training: steps for each sixteen languages, stretches of a step, first rate, seed.
+STEPS, BATCH, RATE, SEED = 400, 128, 0.02, 11
+HIDDEN = 12
+#: A text is read in stretches, both ways from some bytes beyond each: states at a position follow from MARGIN bytes on either side at least.
+STRETCH, MARGIN = 240, 24
+#: Stretches read at once; with more languages than WIDE fewer, which changes memory only.
+ROWS, WIDE = 2048, 16
 
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and (re.search("[A-Za-z]", text) is not None or any(map(str.isalpha, text)))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + np.tanh(0.5 * x))
+def as_bytes(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "replace")
 
 
 class BiGru:
-    """Two gated recurrent layers, one from each end of a word, and a softmax over languages at every byte."""
+    """Two gated recurrent layers, one from each end, and a softmax over languages at every byte. Arrays are (time, unit, row)."""
 
     def __init__(self, n_out: int, alphabet: np.ndarray, hidden: int = HIDDEN, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.hidden, self.index = hidden, np.zeros(256, np.int64)  # place 0: bytes never seen
+        self.hidden, self.index = hidden, np.zeros(256, np.uint8)  # place 0: bytes never seen
         self.index[alphabet] = np.arange(1, len(alphabet) + 1)
-        n = len(alphabet) + 1
         draw = lambda a, b, s: (rng.standard_normal((a, b)) * s).astype(np.float32)
         self.p = {}
         for side in "fb":
-            self.p[f"w{side}"] = draw(n, 3 * hidden, 0.3)
-            self.p[f"u{side}"] = draw(hidden, 3 * hidden, 1 / np.sqrt(hidden))
-        self.p["v"] = draw(2 * hidden, n_out, 0.3)
-        self.p["c"] = np.zeros((1, n_out), np.float32)
+            self.p[f"w{side}"] = draw(len(alphabet) + 1, 3 * hidden, 0.3)
+            self.p[f"u{side}"] = draw(3 * hidden, hidden, 1 / np.sqrt(hidden))
+            self.p[f"v{side}"] = draw(n_out, hidden, 0.3)
+        self.p["c"] = np.zeros((n_out, 1), np.float32)
 
-    def _run(self, x: np.ndarray, side: str) -> tuple[np.ndarray, list]:
-        """States at every byte (length, n, hidden) of words of one length, and what the way back needs."""
+    def _run(self, x: np.ndarray, side: str, kept: list | None = None) -> np.ndarray:
+        """States (time, hidden, n) of rows x (time, n), read from the first; kept gets what the way back needs."""
         w, u, k = self.p[f"w{side}"], self.p[f"u{side}"], self.hidden
-        n, length = x.shape
-        h, out, kept = np.zeros((n, k), np.float32), np.empty((length, n, k), np.float32), []
-        for t in range(length) if side == "f" else range(length - 1, -1, -1):
-            gx, gh = w[x[:, t]], h @ u
-            zr = _sigmoid(gx[:, : 2 * k] + gh[:, : 2 * k])
-            z, r = zr[:, :k], zr[:, k:]
-            c = np.tanh(gx[:, 2 * k :] + r * gh[:, 2 * k :])
-            kept.append((t, h, z, r, c, gh[:, 2 * k :]))
-            h = c + z * (h - c)
+        h, out = np.zeros((k, x.shape[1]), w.dtype), np.empty((len(x), k, x.shape[1]), w.dtype)
+        for t in range(len(x)):
+            gx, gh = w.take(x[t], axis=0).T, u @ h
+            zr = gh[: 2 * k]
+            zr += gx[: 2 * k]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            c = zr[k:] * gh[2 * k :]
+            c += gx[2 * k :]
+            np.tanh(c, out=c)
+            if kept is not None:
+                kept.append((h, zr[:k].copy(), zr[k:].copy(), c, gh[2 * k :].copy()))
+            h = c + zr[:k] * (h - c)
             out[t] = h
-        return out, kept
+        return out
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """(length, n, languages) for words of one length."""
-        s = np.concatenate((self._run(x, "f")[0], self._run(x, "b")[0]), 2) @ self.p["v"] + self.p["c"]
-        s = np.exp(s - s.max(2, keepdims=True))
-        return s / s.sum(2, keepdims=True)
+    def probabilities(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(time, languages, n) for rows x (time, n) of which the first lengths bytes count."""
+        s = np.matmul(self.p["vf"], self._run(x, "f")) + self.p["c"]
+        back = np.maximum(lengths[None, :] - 1 - np.arange(len(x))[:, None], 0)
+        b = np.matmul(self.p["vb"], self._run(np.take_along_axis(x, back, 0), "b"))
+        s += b[::-1] if (lengths == len(x)).all() else np.take_along_axis(b, back[:, None, :], 0)
+        s -= s.max(1, keepdims=True)
+        np.exp(s, out=s)
+        return s / s.sum(1, keepdims=True)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over all bytes, each labelled with its word's language, and its gradients through time."""
-        (n, length), k = x.shape, self.hidden
-        f, kf = self._run(x, "f")
-        b, kb = self._run(x, "b")
-        both = np.concatenate((f, b), 2)
-        s = both @ self.p["v"] + self.p["c"]
-        s = np.exp(s - s.max(2, keepdims=True))
-        s /= s.sum(2, keepdims=True)
-        loss = -np.log(np.maximum(s[:, np.arange(n), y], 1e-12)).mean()
-        s[:, np.arange(n), y] -= 1
+        """Mean cross-entropy over all bytes of rows x (n, time), each labelled with its text's language, and its gradients through time."""
+        (n, length), x = x.shape, x.T
+        kf, kb = [], []
+        f, b = self._run(x, "f", kf), self._run(x[::-1], "b", kb)
+        s = np.matmul(self.p["vf"], f) + np.matmul(self.p["vb"], b)[::-1] + self.p["c"]
+        s = np.exp(s - s.max(1, keepdims=True))
+        s /= s.sum(1, keepdims=True)
+        loss = -np.log(np.maximum(s[:, y, np.arange(n)], 1e-12)).mean()
+        s[:, y, np.arange(n)] -= 1
         s /= n * length
-        g = {"v": np.tensordot(both, s, ([0, 1], [0, 1])), "c": s.sum((0, 1))[None, :]}
-        back = s @ self.p["v"].T
-        for side, kept, part in (("f", kf, back[:, :, :k]), ("b", kb, back[:, :, k:])):
-            u = self.p[f"u{side}"]
-            gw, gu = np.zeros_like(self.p[f"w{side}"]), np.zeros_like(u)
-            dh = np.zeros((n, k), np.float32)
-            for t, h, z, r, c, ghc in reversed(kept):
-                dh = dh + part[t]
+        g = {"c": s.sum((0, 2))[:, None]}
+        for side, kept, states, error, bytes_ in (("f", kf, f, s, x), ("b", kb, b, s[::-1], x[::-1])):
+            u, v, k = self.p[f"u{side}"], self.p[f"v{side}"], self.hidden
+            g[f"v{side}"] = np.einsum("tln,thn->lh", error, states, optimize=True)
+            back = np.matmul(v.T, error)
+            gu, steps = np.zeros_like(u), np.empty((length, n, 3 * k), u.dtype)
+            dh = np.zeros((k, n), u.dtype)
+            for t in range(length - 1, -1, -1):
+                h, z, r, c, ghc = kept[t]
+                dh = dh + back[t]
                 dz = dh * (h - c) * z * (1 - z)
                 dc = dh * (1 - z) * (1 - c * c)
                 dr = dc * ghc * r * (1 - r)
-                dgh = np.concatenate((dz, dr, dc * r), 1)
-                np.add.at(gw, x[:, t], np.concatenate((dz, dr, dc), 1))
-                gu += h.T @ dgh
-                dh = dh * z + dgh @ u.T
+                dgh = np.concatenate((dz, dr, dc * r))
+                steps[t] = np.concatenate((dz, dr, dc)).T
+                gu += dgh @ h.T
+                dh = dh * z + u.T @ dgh
+            gw = np.zeros_like(self.p[f"w{side}"])
+            np.add.at(gw, bytes_.ravel(), steps.reshape(-1, 3 * k))
             g[f"w{side}"], g[f"u{side}"] = gw, gu
         return float(loss), g
 
-    def fit(self, words: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> list[float]:
+    def fit(self, rows: list[bytes], labels: np.ndarray, steps: int, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> list[float]:
+        """rows: stretches of LENGTH bytes. Adam with a rate that falls to nothing."""
         rng = np.random.default_rng(seed)
-        by: dict[int, list[int]] = defaultdict(list)
-        for i, w in enumerate(words):
-            by[len(w)].append(i)
+        x = self.index[np.frombuffer(b"".join(rows), np.uint8)].reshape(len(rows), -1).astype(np.intp)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         q = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step, losses = 0, []
-        for _ in range(epochs):
-            parts = []
-            for own in by.values():
-                own = rng.permutation(own)
-                parts += [own[i : i + batch] for i in range(0, len(own), batch)]
-            total = 0.0
-            for i in rng.permutation(len(parts)):
-                at = parts[i]
-                x = self.index[np.frombuffer(b"".join([words[j] for j in at]), np.uint8).reshape(len(at), -1)]
-                loss, g = self.gradients(x, labels[at])
-                total, step = total + loss, step + 1
-                scale = len(at) / batch  # a small batch moves little
-                for k, v in g.items():
-                    v = np.clip(v, -1, 1) * scale
-                    m[k] = 0.9 * m[k] + 0.1 * v
-                    q[k] = 0.999 * q[k] + 0.001 * v * v
-                    self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(q[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-            losses.append(total / max(1, len(parts)))
+        losses, order = [], np.empty(0, np.int64)
+        for step in range(1, steps + 1):
+            if len(order) < batch:
+                order = np.concatenate((order, rng.permutation(len(rows))))
+            at, order = order[:batch], order[batch:]
+            loss, g = self.gradients(x[at], labels[at])
+            losses.append(loss)
+            for k, v in g.items():
+                v = np.clip(v, -1, 1)
+                m[k] = 0.9 * m[k] + 0.1 * v
+                q[k] = 0.999 * q[k] + 0.001 * v * v
+                slow = rate * (1 - (step - 1) / steps)
+                self.p[k] -= (slow * (m[k] / (1 - 0.9**step)) / (np.sqrt(q[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return losses
 
-    def word_sums(self, words: list[bytes]) -> np.ndarray:
-        """For each word the sum of its bytes' probabilities."""
-        out = np.empty((len(words), self.p["v"].shape[1]))
-        by: dict[int, list[int]] = defaultdict(list)
-        for i, w in enumerate(words):
-            by[len(w)].append(i)
-        for own in by.values():
-            size = shrunk(4096, out.shape[1])
-            for i in range(0, len(own), size):
-                at = own[i : i + size]
-                x = self.index[np.frombuffer(b"".join([words[j] for j in at]), np.uint8).reshape(len(at), -1)]
-                out[at] = self.probabilities(x).sum(0)
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the sum of its bytes' probabilities. Every byte is read, in stretches that overlap by MARGIN on both sides."""
+        out = np.zeros((len(texts), len(self.p["c"])))
+        sizes = np.array([len(t) for t in texts], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        data = self.index[np.frombuffer(b"".join(texts), np.uint8)]
+        number = -(-sizes // STRETCH)
+        owner = np.repeat(np.arange(len(texts)), number)
+        core = (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)) * STRETCH
+        low = np.maximum(core - MARGIN, 0)
+        core_end = np.minimum(core + STRETCH, sizes[owner])
+        length = np.minimum(core_end + MARGIN, sizes[owner]) - low
+        order = np.argsort(length, kind="stable")
+        rows = max(1, ROWS * WIDE // max(WIDE, out.shape[1]))
+        for i in range(0, len(order), rows):
+            at = order[i : i + rows]
+            t = np.arange(length[at].max())[:, None]
+            x = data[np.minimum((starts[owner[at]] + low[at])[None, :] + t, len(data) - 1)].astype(np.intp)
+            inside = (t >= (core - low)[at][None, :]) & (t < (core_end - low)[at][None, :])
+            s = self.probabilities(x, length[at])
+            s *= inside[:, None, :]
+            np.add.at(out, owner[at], s.sum(0).T)
         return out
 
 
-class Reader:
-    """Labels documents with a trained network; words that it has read before are looked up."""
-
-    def __init__(self, net: BiGru, languages: list[str]):
-        self.net, self.languages = net, languages
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.sums = np.empty((0, len(self.languages)))
-
-    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        rows = [words_of(t) if t else [] for t in texts]
-        if len(self.place) > shrunk(MOST_WORDS, len(self.languages)):
-            self.clear()
-        if new := list({w: None for row in rows for w in row if w not in self.place}):
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.sums = np.concatenate((self.sums, self.net.word_sums(new)))
-        out = []
-        for t, row in zip(texts, rows, strict=True):
-            if not self.languages or not row or not has_letter(t):
-                out.append((UNKNOWN, 0.0))
-                continue
-            got = self.sums[np.fromiter(map(self.place.__getitem__, row), np.int64, len(row))].sum(0)
-            best = int(got.argmax())
-            out.append((self.languages[best], float(min(1.0, got[best] / sum(map(len, row))))))
-        return out
+def label(net: BiGru, languages: list[str], texts: list[str | None]) -> list[tuple[str, float]]:
+    """Language and its mean probability over all bytes for each text."""
+    out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+    some = [i for i, t in enumerate(texts) if has_letter(t)] if languages else []
+    bodies = [as_bytes(texts[i]) for i in some]
+    for i, body, got in zip(some, bodies, net.sums(bodies) if some else [], strict=True):
+        best = int(got.argmax())
+        out[i] = (languages[best], float(min(1.0, got[best] / len(body))))
+    return out
+
+
+def stretches(text: str | None, most: int = SAMPLE_STRETCHES, length: int = LENGTH) -> list[bytes]:
+    """Parts of a text, spread over all of it; a text that is too short is repeated."""
+    body = as_bytes(text)
+    if not body:
+        return []
+    if len(body) < length:
+        return [((body + b" ") * (length // len(body) + 1))[:length]]
+    number = min(most, len(body) // length)
+    return [body[i * (len(body) - length) // max(1, number - 1) :][:length] for i in range(number)]
 
 
-def sample(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_words: int = SAMPLE_WORDS) -> tuple[list[str], list[tuple[str, bytes]]]:
-    """All languages of docs (text, lang, key), and words of a bounded sample of the documents of each."""
+def sample(docs: DataFrame, most_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[tuple[str, bytes]]]:
+    """All languages of docs (text, lang, key), and stretches of a bounded sample of the documents of each."""
     some = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = some.groupBy("lang").count().collect()
     rates = docs.sparkSession.createDataFrame([(r["lang"], int((1 << 20) * min(1.0, most_docs / r["count"]))) for r in counts], "lang string, rate long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, keys, some = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
-            for t in batch.column(0).to_pylist():
-                row = words_of(t)
-                some.append(b" ".join(row[:: max(1, len(row) // most_words)][:most_words]))
-            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(keys, pa.int64()), pa.array(some, pa.binary())], names=["lang", "key", "words"])
+            own = [(lang, key, x) for t, lang, key in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in stretches(t)]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["lang", "key", "part"])
 
-    got = some.join(F.broadcast(rates), "lang").where(F.pmod("key", F.lit(1 << 20)) < F.col("rate")).select("text", "lang", "key").mapInArrow(run, "lang string, key long, words binary").toArrow()
-    rows = sorted(zip(got.column("lang").to_pylist(), got.column("key").to_pylist(), got.column("words").to_pylist(), strict=True))
-    return sorted(r["lang"] for r in counts), [(lang, w) for lang, _, words in rows for w in words.split()]
+    got = some.join(F.broadcast(rates), "lang").where(F.pmod("key", F.lit(1 << 20)) < F.col("rate")).select("text", "lang", "key").mapInArrow(run, "lang string, key long, part binary").toArrow()
+    return sorted(r["lang"] for r in counts), sorted(zip(got.column("lang").to_pylist(), got.column("part").to_pylist(), strict=True))
 
 
-def trained(languages: list[str], words: list[tuple[str, bytes]], most: int = TRAIN_WORDS, seed: int = SEED) -> BiGru:
-    """A network trained on at most most words of each language, drawn by seed."""
+def trained(languages: list[str], parts: list[tuple[str, bytes]], most: int = SAMPLE_DOCS * SAMPLE_STRETCHES, seed: int = SEED) -> BiGru:
+    """A network trained on at most most stretches of each language, drawn by seed. Languages with few are drawn more often, so
+    that steps meet all alike."""
     rng = np.random.default_rng(seed)
     by: dict[str, list[bytes]] = defaultdict(list)
-    for lang, w in words:
-        by[lang].append(w)
-    chosen = [(w, k) for k, lang in enumerate(languages) for w in (by[lang] if len(by[lang]) <= most else [by[lang][i] for i in rng.choice(len(by[lang]), most, replace=False)])]
-    alphabet = np.unique(np.frombuffer(b"".join(w for w, _ in chosen) or b"a", np.uint8))
+    for lang, x in parts:
+        by[lang].append(x)
+    number = min(most, max(map(len, by.values()), default=0))
+    chosen = [(by[lang][i], k) for k, lang in enumerate(languages) if by[lang] for i in (rng.choice(len(by[lang]), number, replace=False) if len(by[lang]) >= number else rng.integers(0, len(by[lang]), number))]
+    alphabet = np.unique(np.frombuffer(b"".join(x for x, _ in chosen) or b"a", np.uint8))
     net = BiGru(max(1, len(languages)), alphabet, seed=seed)
     if chosen:
-        net.fit([w for w, _ in chosen], np.array([k for _, k in chosen]))
+        net.fit([x for x, _ in chosen], np.array([k for _, k in chosen]), STEPS * -(-len(languages) // 16), seed=seed)
     return net
 
 
-_READERS: dict = {}
-keeps("langid", _READERS.clear)
-
-
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", modulus: int = 4, held: int = 2, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) and the columns named in keep, one row for each row of docs.
 
-    Learns from text and lang of rows whose crc32(id as text) mod modulus isn't held, on a bounded sample by hash. Every byte of
-    the letters of every whole text is labelled within its word, from both ends; a document's probabilities are the means over
+    Learns from text and lang of rows whose crc32(id as text) mod modulus isn't held, on a bounded sample by hash of id and text. Every
+    byte of every whole text, blanks and signs included, is labelled from both sides; a document's probabilities are the means over
     its bytes. Texts that are null or have no letter are und with score 0, and so are all if there is nothing to learn
     from. A null id counts as empty text; repeated rows give equal rows; an empty table gives none.
     """
@@ -233,19 +224,16 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     keep = keep or []
     mark = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
     out_ = F.pmod(mark, F.lit(modulus)) == held
-    learn = docs.where(~out_).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id), F.lit(SEED)).alias("key"))
-    languages, words = sample(learn)
-    net = spark.sparkContext.broadcast((trained(languages, words), languages))
+    learn = docs.where(~out_).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id), F.col(text), F.lit(SEED)).alias("key"))
+    languages, parts = sample(learn)
+    model = spark.sparkContext.broadcast((trained(languages, parts), languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("langid")
-        if _READERS.get("of") is not net.value:
-            _READERS.clear()
-            _READERS["of"], _READERS["reader"] = net.value, Reader(*net.value)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in pieces(texts, shrunk(PIECE_BYTES, len(_READERS["reader"].languages))):
-                got = _READERS["reader"].label(texts[a:b])
+            for a, b in pieces(texts):
+                got = label(*model.value, texts[a:b])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([x[0] for x in got]), pa.array([x[1] for x in got], pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
 

@@ -55,11 +55,16 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     rows = settle(rows, "mix")
     key = ["source", "step", "bucket"]
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    # One row for each source, step and bucket: at most about 256 * 4096 narrow rows of a source meet here.
-    ahead = Window.partitionBy("source").orderBy("step", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = settle(counts.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))), "mix")
-    targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    plan = counts.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "step", "bucket", "before", "source_size", "target")
+    # The rows before a bucket: those of smaller steps of its source (a few hundred rows), and of smaller buckets of its step.
+    ahead = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda n, window: F.coalesce(F.sum(n).over(window), F.lit(0))
+    counts = settle(counts.withColumn("within", before("n", ahead("source", "step").orderBy("bucket"))), "mix")
+    steps = counts.groupBy("source", "step").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    steps = settle(steps.withColumn("ahead", before("n", ahead("source").orderBy("step"))), "mix")
+    targets = source_targets(steps.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    firsts = steps.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "step", "ahead", "source_size", "target")
+    plan = counts.alias("c").join(firsts.alias("f"), F.col("c.source").eqNullSafe(F.col("f.source")) & (F.col("c.step") == F.col("f.step")))
+    plan = plan.select("c.source", "c.step", "bucket", (F.col("within") + F.col("ahead")).alias("before"), "source_size", "target")
     local = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id", "size")))
     both = local.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.step") == F.col("p.step")) & (F.col("r.bucket") == F.col("p.bucket")))
     rate = F.when(F.col("p.source_size") > 0, F.col("p.target") / F.col("p.source_size")).otherwise(F.lit(0.0))

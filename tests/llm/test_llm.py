@@ -291,7 +291,7 @@ def test_language_network_gradients():
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     x, y = np.array([[1, 2, 3, 1], [3, 3, 0, 2]]), np.array([0, 2])
     _, g = net.gradients(x, y)
-    for name, at in (("wf", (1, 2)), ("ub", (0, 5)), ("uf", (2, 9)), ("v", (3, 1)), ("wb", (3, 10))):
+    for name, at in (("wf", (1, 2)), ("ub", (5, 0)), ("uf", (9, 2)), ("vf", (1, 3)), ("vb", (2, 0)), ("wb", (3, 10)), ("c", (1, 0))):
         kept = net.p[name][at]
         step = 1e-3
         net.p[name][at] = kept + step
@@ -315,13 +315,52 @@ def test_languages_are_told_apart(spark):
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
 
 
+def plain_forward(net, body):
+    """Probabilities at every byte of a text, by plain loops."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    p, k = {n: v.astype(np.float64) for n, v in net.p.items()}, net.hidden
+
+    def states(part, side):
+        h, out = np.zeros(k), []
+        for b in part:
+            gx, gh = p[f"w{side}"][net.index[b]], p[f"u{side}"] @ h
+            z, r = sigmoid(gx[:k] + gh[:k]), sigmoid(gx[k : 2 * k] + gh[k : 2 * k])
+            c = np.tanh(gx[2 * k :] + r * gh[2 * k :])
+            h = c + z * (h - c)
+            out.append(h)
+        return out
+
+    rows = []
+    for core in range(0, len(body), langid.STRETCH):
+        low, high = max(0, core - langid.MARGIN), min(len(body), core + langid.STRETCH + langid.MARGIN)
+        f, b = states(body[low:high], "f"), states(body[low:high][::-1], "b")[::-1]
+        for at in range(core, min(core + langid.STRETCH, len(body))):
+            s = np.exp(p["vf"] @ f[at - low] + p["vb"] @ b[at - low] + p["c"][:, 0])
+            rows.append(s / s.sum())
+    return np.array(rows)
+
+
+def test_language_network_reads_whole_texts_as_plain_loops_do():
+    rng = random.Random(2)
+    bodies = ["".join(rng.choice("abc äß日.,1\n") for _ in range(n)).encode() for n in (1, 5, 239, 240, 241, 263, 265, 700, 2000)]
+    net = langid.BiGru(3, np.unique(np.frombuffer(b"".join(bodies[3:]), np.uint8))[3:], hidden=5, seed=3)
+    assert net.sums(bodies) == pytest.approx(np.array([plain_forward(net, b).sum(0) for b in bodies]), rel=1e-3, abs=1e-3)
+
+
+def test_held_out_accuracy_by_language(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    both = langid.identify(rows).join(rows, "doc_id").where("held_out AND lang IS NOT NULL AND length(text) > 20").groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("share"))
+    got = {r["lang"]: r["share"] for r in both.collect()}
+    assert len(got) == 4 and min(got.values()) >= 0.9, got
+
+
 def test_all_languages_are_learned(spark):
     rng = random.Random(12)
     own = [[chr(0x61 + k // 20) + chr(0x430 + k % 20) + chr(0x3B1 + j) for j in range(3)] for k in range(70)]
     rows = [(100 * k + i, " ".join(rng.choice(own[k]) for _ in range(60)), f"l{k:02d}") for k in range(70) for i in range(12 if k < 66 else 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    languages, words = langid.sample(docs.select("text", "lang", F.xxhash64("doc_id").alias("key")))
-    assert languages == sorted({r[2] for r in rows}) and {lang for lang, _ in words} == set(languages)
+    languages, parts = langid.sample(docs.select("text", "lang", F.xxhash64("doc_id").alias("key")))
+    assert languages == sorted({r[2] for r in rows}) and {lang for lang, _ in parts} == set(languages)
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
     assert all(any(got[d] == lang for d, _, lang in rows if lang == f"l{k}") for k in range(66, 70))
 
@@ -513,6 +552,25 @@ def test_pipeline_stages_do_their_work(spark, tmp_path):
     assert corpus.run(spark, str(tmp_path)).count() == at.count()
 
 
+def test_pipeline_stages_take_odd_tables(spark):
+    corpus = pytest.importorskip("corpus_pipeline")
+    text = "der die und das in house token=abcdefgh1 " * 3
+    rows = [(None, text, "en", "s", 1), (3, text, "en", "s", 1), (3, text, "en", "s", 1), (4, None, None, None, None), (None, None, None, None, None), (5, "", "de", "t", 0), (6, "a", "de", "t", 1)]
+    names = ("found", "spans", "_spans", "copies", "_copies", "_copy", "copy", "own", "held", "keep_text", "lang_pred", "score", "component_id")
+    df = spark.createDataFrame(rows, DOCS)
+    for n in names:
+        df = df.withColumn(n, F.lit(n))
+    want = {"near_duplicates": Counter({None: 2, 3: 1, 4: 1, 5: 1, 6: 1}), "secrets": Counter({None: 2, 3: 2, 4: 1, 5: 1, 6: 1})}
+    for name, stage in corpus.STAGES[:-1]:
+        assert stage(spark, df.limit(0), "").count() == 0
+        got = stage(spark, df, "")
+        assert got.columns == df.columns
+        got = got.collect()
+        assert all(r[n] == n for r in got for n in names)
+        assert name not in want or Counter(r["doc_id"] for r in got) == want[name]
+    assert corpus.tokens(spark, df.limit(0), "").count() == 0 and corpus.tokens(spark, df, "").count() == len(rows)
+
+
 def test_pipeline_drops_near_copies_of_five_words(spark):
     corpus = pytest.importorskip("corpus_pipeline")
     rng = random.Random(10)
