@@ -10,14 +10,17 @@ from seqspark.llm.common import settle, table
 from seqspark.llm.jaccard import jaccard_components
 from seqspark.llm.langid import UNKNOWN, identify
 from seqspark.llm.mixing import mix
-from seqspark.llm.secrets import redact, scan
+from seqspark.llm.secrets import fresh, redact, scan
 
 #: Mean probability of the best language under which a document's language counts as not known.
 LEAST_SCORE = 0.3
 
 
+# Every stage keeps the columns of documents and any others, whatever their names, and gives no rows for an empty table.
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those whose language isn't clear."""
+    """Drops documents without letters (null and empty texts too) and those whose language isn't clear. Repeated rows fare alike."""
     out = identify(docs, keep=docs.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return out.select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])
 
@@ -30,21 +33,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts by a mark."""
-    found = scan(docs)
-    clean = found.withColumn("text", redact(F.col("text"), F.col("found")))
-    return clean.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Replaces secrets in the texts by a mark; all rows stay, null texts as they are."""
+    spans = fresh(docs, "spans")
+    found = scan(docs, out=spans)
+    clean = found.withColumn("text", redact(F.col("text"), F.col(spans)))
+    return clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix says; rows without id are taken once."""
-    copies = mix(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    often = docs.join(copies, "doc_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)).cast("int"))
-    return often.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+    """Takes each document as often as the mix says; rows without id are taken once, rows with one id alike."""
+    copies, copy = fresh(docs, "copies"), fresh(docs, "copy")
+    taken = mix(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias(copies))
+    often = docs.join(taken, "doc_id", "left").withColumn(copies, F.coalesce(copies, F.lit(1)).cast("int"))
+    return often.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text, and digests of ids and decoded text."""
+    """The ids of each text (none for null), and digests of ids and decoded text; all rows stay."""
     return encode(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
