@@ -54,9 +54,8 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
 
 
 def word_array(text: Column) -> Column:
-    """The words of a text, in order; none for null. One character is split by, which needs no regular expression."""
-    flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.filter(F.split(flat, " ", -1), lambda w: w != "")
+    """The words of a text, in order; none for null."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]+", -1), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keeps, only, settle, table
+from .common import hot_keys, keeps, met, only, settle, table
 
 ORDER = 3
 #: Byte strings that a task counts before it gives them on, and contexts of ORDER bytes that executors hold; what follows others is joined.
@@ -295,27 +295,34 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus:
             ids: dict[bytes, int] = defaultdict()
             ids.default_factory = ids.__len__
             words, scores, lengths, left = [], [], [], []
-            for _, t, _ in chunk:
+            at, n, m = 0, 0, len(chunk)
+            for i, (_, t, _) in enumerate(chunk):
                 row = t.lower().split()
                 lengths.append(len(row) + 1)
-                words.append(np.fromiter(map(ids.__getitem__, row), np.int64, len(row)))
-            at, n = 0, 0
-            for i, (_, t, _) in enumerate(chunk):  # pieces of about 2 MB, else a long text alone
+                words.append(np.fromiter(map(ids.__getitem__, row), np.uint32, len(row)))
                 n += len(t)
-                if n > 2 << 20 or i + 1 == len(chunk):
+                if n > 1 << 20 or i + 1 == m:  # pieces of about 1 MB, else a long text alone; what was read is let go
                     other: list = []
                     scores.append(tables.scores([x[1] for x in chunk[at : i + 1]], other))
-                    left += [np.unique(c.astype(np.int64) * len(chunk) + o + at, return_counts=True) for c, o in other]
+                    left += [np.unique(c.astype(np.int64) * m + o + at, return_counts=True) for c, o in other]
+                    for j in range(at, i + 1):
+                        chunk[j] = (chunk[j][0], None, chunk[j][2])
                     at, n = i + 1, 0
-            owners = np.repeat(np.arange(len(chunk)), [len(x) for x in words])
-            pair, times = np.unique(np.concatenate(words) * len(chunk) + owners, return_counts=True)
-            word, doc = pair // len(chunk), pair % len(chunk)
+            pair = np.repeat(np.arange(m), [len(x) for x in words])
+            pair += np.concatenate(words).astype(np.int64) * m
+            del words
+            pair.sort()
+            start = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.empty(0, np.int64)
+            times = np.diff(np.append(start, len(pair)))
+            pair = pair[start]
+            word, doc = pair // m, pair % m
             learn = np.array([not h for *_, h in chunk])
             train_n = np.bincount(word, weights=times * learn[doc], minlength=len(ids)).astype(np.int64)
             bounds = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(ids)))))
-            blobs, wide = packed(doc, times, bounds, len(chunk))
+            blobs, wide = packed(doc, times, bounds, m)
+            del pair, word, doc, times
             none = lambda k, t: pa.nulls(k, t)
-            k, m = len(ids), len(chunk)
+            k = len(ids)
             if left:
                 pair, at = np.unique(np.concatenate([p for p, _ in left]), return_inverse=True)
                 times = np.bincount(at, weights=np.concatenate([t for _, t in left])).astype(np.int64)
@@ -359,7 +366,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus:
         result = total[order] + (log10(end + 1) if end else 0.0) - tokens * log10(n_all + kinds_all + 1)
         return pa.table({"doc_id": docs_.column("doc_id"), "held_out": docs_.column("held_out"), "n_tokens": tokens, "n_known": hits[order] + int(end > 0), "train_tokens": np.full(n, n_all, np.int64), "base_score": result, "score": bytes_})
 
-    found = words.join(counts, "word").select(F.col("chunk").alias("of"), "docs", "wide", F.log10(F.col("c") + 1.0).alias("value"), F.lit(False).alias("of_bytes"))
+    found = met(words, counts, "word", hot_keys(counts, "word", "c")).select(F.col("chunk").alias("of"), "docs", "wide", F.log10(F.col("c") + 1.0).alias("value"), F.lit(False).alias("of_bytes"))
     if len(model.value) > 2:
         codes = held_.where("code IS NOT NULL").select("chunk", "code", "docs", F.col("place").alias("wide"))
         values = probabilities(codes.select("code").distinct(), strings)

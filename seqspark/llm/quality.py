@@ -15,7 +15,7 @@ COMMON_WORDS = {
     "en": ("the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "on", "was", "be", "with", "as", "by", "this", "at", "are", "from", "not", "have", "or", "an", "which"),
     "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch", "es", "an", "er", "für", "bei"),
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "sur", "au", "il", "pas", "ne", "se", "ce", "ou", "avec"),
-    "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al", "lo", "como", "o", "más", "asíque"),
+    "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al", "lo", "como", "o", "más", "si"),
 }
 #: Classes of characters; what is in none counts as other. Order is that of the histograms.
 CHARACTER_CLASSES = (("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("point", r"[.,;:!?'\"()-]+"), ("symbol", r"[#*$%&|<>@=+/_~^\\\[\]{}]+"))
@@ -35,21 +35,26 @@ def vocabulary(common: dict = COMMON_WORDS) -> list[str]:
 def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with words, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
 
-    Each is worked out within its row, without a shuffle. Repeated 3-word windows are found by sorting the windows' hashes
-    with their places: equal neighbours repeat, and the words that they cover are counted from the sorted places.
+    Each is worked out within its row, without a shuffle. Where a text has fewer distinct 3-word windows than windows, these are
+    found by sorting their hashes with their places: equal neighbours repeat, and the words that they cover are counted from the
+    sorted places.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumn("words", word_array(F.col(text)))
     rows = rows.withColumn("n_words", F.size("words").cast("long")).withColumn("_joined", F.array_join("words", ""))
-    spans = F.transform("words", lambda w, i: F.struct(F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")))
-    rows = rows.withColumn("_spans", F.sort_array(F.slice(spans, 1, F.greatest(F.size("words") - 2, F.lit(0)))))
-    twice = F.filter("_spans", lambda x, j: F.coalesce(F.get("_spans", j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_spans", j + 1)["h"] == x["h"], F.lit(False)))
-    covered = F.aggregate(
-        F.sort_array(F.transform(twice, lambda x: x["i"])),
+    hashes = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
+    rows = rows.withColumn("_spans", F.slice(hashes, 1, F.greatest(F.size("words") - 2, F.lit(0))))
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+    twice = lambda s: F.filter(s, lambda x, j: same(F.get(s, j - 1), x) | same(F.get(s, j + 1), x))
+    counted = lambda s: F.aggregate(
+        F.sort_array(F.transform(twice(s), lambda x: x["i"])),
         F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
         lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")),
         lambda acc: acc["n"],
     )
+    ordered = F.sort_array(F.transform("_spans", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeats = F.size(F.array_distinct("_spans")) < F.size("_spans")
+    covered = F.when(repeats, F.get(F.transform(F.array(ordered), counted), F.lit(0))).otherwise(F.lit(0)).cast("long")
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return rows.select(
         *[c for c in rows.columns if c not in ("_spans", "_joined")],
@@ -68,11 +73,13 @@ def histograms(rows: DataFrame, text: str = "text", common: dict = COMMON_WORDS)
         out, left = out.withColumn(f"_l{k + 1}", F.regexp_replace(left, pattern, "")), f"_l{k + 1}"
     sizes = [F.length(f"_l{k}") for k in range(len(CHARACTER_CLASSES) + 1)]
     chars = F.array(*[(a - b).cast("long") for a, b in zip(sizes, sizes[1:], strict=False)], sizes[-1].cast("long"))
-    plain = F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), PUNCTUATION + "\t\n\x0b\x0c\r", " " * (len(PUNCTUATION) + 5))
+    plain = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20.,;:!?\x09-\x0D]+", -1)
     words = vocabulary(common)
-    # Only common words stay, with two blanks between them, so that taking one word away shortens the string by its share.
-    out = out.withColumn("_c", F.concat(F.lit(" "), F.array_join(F.filter(F.split(plain, " ", -1), lambda w: w.isin(words)), "  "), F.lit(" ")))
-    each = [((F.length("_c") - F.length(F.replace("_c", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in words]
+    # Only common words stay, one letter for each, so that taking one letter away shortens the string by its count.
+    letter = {w: chr(33 + k if k < 90 else 256 + k) for k, w in enumerate(words)}
+    of = F.create_map(*[F.lit(x) for pair in letter.items() for x in pair])
+    out = out.withColumn("_c", F.array_join(F.transform(F.filter(plain, lambda w: w.isin(words)), lambda w: F.element_at(of, w)), ""))
+    each = [(F.length("_c") - F.length(F.replace("_c", F.lit(x), F.lit("")))).cast("long") for x in letter.values()]
     out = out.withColumn("chars", chars).withColumn("_w", F.array(*each))
     rest = F.greatest(F.col("n_words") - F.aggregate("_w", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
     out = out.withColumn("commons", F.concat("_w", F.array(rest)))
