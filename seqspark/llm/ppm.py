@@ -20,7 +20,7 @@ TASK_GRAMS, HELD_CONTEXTS = 1 << 22, 1 << 15
 #: Bytes that never occur in UTF-8: before each text, and after it.
 START, END = 0xFE, 0xFF
 SYMBOLS = 255
-CHUNK_BYTES, CHUNK_DOCS = 16 << 20, 1 << 15
+CHUNK_BYTES, CHUNK_DOCS = 12 << 20, 1 << 15
 
 
 def framed(text: bytes) -> bytes:
