@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
+
 
 def settled(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back; iterations then start from files that outlive executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="seqspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/seqspark/graph-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch(df.sparkSession, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -31,6 +25,31 @@ def degrees(edges: DataFrame) -> DataFrame:
     return undirected(edges).groupBy(F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("degree"))
 
 
+def pendants(edges: DataFrame) -> DataFrame:
+    """(v, neighbour) of the vertices with one edge."""
+    return undirected(edges).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("neighbour"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+
+
+def completeness(vertices: DataFrame, edges: DataFrame, by: str) -> DataFrame:
+    """(by, n, m, complete, empty): of each group of vertices the numbers of vertices and edges (a < b), and whether all or none are there."""
+    n = vertices.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    m = edges.groupBy(by).agg(F.count(F.lit(1)).alias("m"))
+    both = n.join(m, by, "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    return both.select(by, "n", "m", (2 * F.col("m") == F.col("n") * (F.col("n") - 1)).alias("complete"), (F.col("m") == 0).alias("empty"))
+
+
+def dump_adjacency(edges: DataFrame, path: str) -> None:
+    """A line for each vertex a: itself and its neighbours b, in order, parted by blanks."""
+    lists = edges.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("b"))
+    lists.select(F.concat_ws(" ", F.col("a").cast("string"), F.array_join(F.col("b").cast("array<string>"), " "))).write.text(path)
+
+
+def load_adjacency(spark: SparkSession, path: str) -> DataFrame:
+    """(a, b) of the lines of dump_adjacency."""
+    ids = F.transform(F.split("value", " "), lambda x: x.cast("long"))
+    return spark.read.text(path).select(F.get(ids, 0).alias("a"), F.explode(F.slice(ids, 2, F.size(ids) - 1)).alias("b"))
+
+
 def independent_set(vertices: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
     """A maximal independent set of (v), the same for every partitioning.
 

@@ -125,22 +125,22 @@ def j10(t):
     return fuzzy.best_match(asked, t.nation.select(n.alias("label"), n.alias("s")).distinct(), "c_custkey", "q", "label", "s", 2)
 
 
-_CODE = "substr(translate(md5(CAST(o_orderkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 12)"
-_HAMMING = f"WITH c AS (SELECT o_orderkey AS k, {_CODE} AS s FROM orders), e AS (SELECT k, s, i, substr(s, i * 6 + 1, 6) AS p FROM (SELECT *, unnest(range(2)) AS i FROM c)), h AS (SELECT DISTINCT a.k AS a, b.k AS b, hamming(a.s, b.s) AS d FROM e a JOIN e b ON a.i = b.i AND a.p = b.p AND a.k < b.k WHERE hamming(a.s, b.s) <= 1)"
+_CODE = "substr(translate(md5(CAST(o_orderkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 16)"
+_HAMMING = f"WITH c AS (SELECT o_orderkey AS k, {_CODE} AS s FROM orders), e AS (SELECT k, s, i, CASE i WHEN 0 THEN substr(s, 1, 5) WHEN 1 THEN substr(s, 6, 5) ELSE substr(s, 11, 6) END AS p FROM (SELECT *, unnest(range(3)) AS i FROM c)), h AS (SELECT DISTINCT a.k AS a, b.k AS b, hamming(a.s, b.s) AS d FROM e a JOIN e b ON a.i = b.i AND a.p = b.p AND a.k < b.k WHERE hamming(a.s, b.s) <= 2)"
 
 
 def codes(t):
-    return t.orders.select("o_orderkey", F.substring(S.derived_dna(F.col("o_orderkey")), 1, 12).alias("s"))
+    return t.orders.select("o_orderkey", F.substring(S.derived_dna(F.col("o_orderkey")), 1, 16).alias("s"))
 
 
 @query("j11_hamming_pairs", _HAMMING + " SELECT a, b, d::BIGINT AS distance FROM h")
 def j11(t):
-    return fuzzy.hamming_pairs(codes(t), "o_orderkey", "s", 12, 1)
+    return fuzzy.hamming_pairs(codes(t), "o_orderkey", "s", 16, 2)
 
 
 @query("a33_hamming_distribution", _HAMMING + ", m AS (SELECT k, min(d) AS d FROM (SELECT a AS k, d FROM h UNION ALL SELECT b, d FROM h) GROUP BY 1) SELECT d::BIGINT AS distance, count(*) AS n FROM m GROUP BY 1")
 def a33(t):
-    p = fuzzy.hamming_pairs(codes(t), "o_orderkey", "s", 12, 1)
+    p = fuzzy.hamming_pairs(codes(t), "o_orderkey", "s", 16, 2)
     least = p.select(F.col("a").alias("k"), "distance").unionByName(p.select(F.col("b").alias("k"), "distance")).groupBy("k").agg(F.min("distance").alias("distance"))
     return least.groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
 
@@ -214,11 +214,16 @@ def g02c(t):
     return graphs.vertex_cover(t.part.select(F.col("p_partkey").alias("v")), edges(t))
 
 
-@query("g05_validity", "SELECT 0::BIGINT AS conflicts")
+@query("g05_validity", "SELECT count(*) AS vertices, 0::BIGINT AS conflicts, 0::BIGINT AS left_out FROM part")
 def g05(t):
-    chosen = graphs.independent_set(t.part.select(F.col("p_partkey").alias("v")), pairs(t)).withColumnRenamed("v", "p_partkey")
-    rest = kmers.exploded(dna(t).join(chosen, "p_partkey", "left_semi"), "p_partkey", F.col("s"), 10, "canonical")
-    return rest.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.when(F.col("n") > 1, 1)).alias("conflicts"))
+    """Of the independent set, from scratch: k-mers that two chosen parts share, and parts that are neither chosen nor share one with a chosen part."""
+    chosen = graphs.independent_set(t.part.select(F.col("p_partkey").alias("v")), pairs(t)).withColumnRenamed("v", "p_partkey").withColumn("chosen", F.lit(True))
+    rows = t.part.select("p_partkey").join(chosen, "p_partkey", "left")
+    held = kmers.exploded(dna(t), "p_partkey", F.col("s"), 10, "canonical").join(rows, "p_partkey")
+    taken = held.groupBy("kmer").agg(F.count("chosen").alias("c"))
+    near = held.join(taken.where("c > 0"), "kmer").select("p_partkey").distinct().withColumn("near", F.lit(True))
+    checked = rows.join(near, "p_partkey", "left").agg(F.count(F.lit(1)).alias("vertices"), F.count(F.when(F.col("chosen").isNull() & F.col("near").isNull(), 1)).alias("left_out"))
+    return checked.join(taken.agg(F.count(F.when(F.col("c") > 1, 1)).alias("conflicts")))  # one row each
 
 
 @query("a34_maximal_sets", "WITH r AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS m FROM lineitem), s AS (SELECT g, count(*) AS n FROM r GROUP BY 1), b AS (SELECT x.g, y.g AS h, count(*) AS c FROM r x JOIN r y ON x.m = y.m AND x.g <> y.g GROUP BY 1, 2), p AS (SELECT DISTINCT b.g FROM b JOIN s u ON u.g = b.g JOIN s v ON v.g = b.h WHERE c = u.n AND (v.n > u.n OR b.h < b.g)) SELECT g AS l_orderkey, n FROM s WHERE g NOT IN (SELECT g FROM p)")

@@ -181,12 +181,6 @@ def l10(t):
     return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
 
 
-@query("l12_learning_curve", "SELECT o_custkey, o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS best FROM orders")
-def l12(t):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return t.orders.select("o_custkey", "o_orderkey", F.max("o_totalprice").over(w).alias("best"))
-
-
 @query("a24_simple_report", "WITH r AS (SELECT unnest([l_linestatus, 'ALL']) AS subgroup, l_extendedprice AS y, 1500 * l_quantity AS g FROM lineitem) SELECT subgroup, count(*) AS n, round(corr(y, g), 6) AS r, round(avg((greatest(g / y, y / g) <= 2)::INT::DOUBLE), 6) AS within_2, round(sqrt(avg((g - y) * (g - y))), 3) AS rmse FROM r GROUP BY 1")
 def a24(t):
     y, g = F.col("l_extendedprice"), 1500 * F.col("l_quantity")

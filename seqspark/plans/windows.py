@@ -139,11 +139,6 @@ def t07(t):
     return t.part.join(front.withColumnRenamed("least", "p_retailprice"), ["p_size", "p_retailprice"], "left_semi").select("p_partkey")
 
 
-@query("t08_seeded_sample", "SELECT count(*) AS n FROM (SELECT * FROM orders LIMIT 100)")
-def t08(t):
-    return t.orders.orderBy(F.xxhash64("o_orderkey", F.lit(7)), "o_orderkey").limit(100).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("t09_hash_split", "SELECT CASE WHEN ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 2))::INT < 64 THEN 'test' ELSE 'train' END AS fold, quality::BIGINT AS quality, count(*) AS n FROM labels GROUP BY 1, 2")
 def t09(t):
     h = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 2), 16, 10).cast("int")

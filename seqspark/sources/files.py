@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names. Only a session on one machine may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="seqspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/seqspark/{tag}-{uuid.uuid4().hex}"
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(name, seq): records are split at '>' by the reader, so a file is read in splits; sequence lines are joined."""
     raw = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
@@ -95,6 +108,15 @@ def read_genbank(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "locus string, kind string, start long, end long, strand string, label string, seq string")
 
 
+def write_genbank(df: DataFrame, path: str, locus: str = "locus", seq: str = "seq", features: str = "features") -> None:
+    """GenBank entries of rows with an array of features (kind, start, end, strand, label), places being 0-based and half-open."""
+    place = lambda f: F.concat((f["start"] + 1).cast("string"), F.lit(".."), f["end"].cast("string"))
+    where = lambda f: F.when(f["strand"] == "-", F.concat(F.lit("complement("), place(f), F.lit(")"))).otherwise(place(f))
+    entry = lambda f: F.concat(F.lit(" " * 5), F.rpad(f["kind"], 16, " "), where(f), F.lit("\n" + " " * 21 + '/label="'), f["label"], F.lit('"\n'))
+    head = F.concat(F.lit("LOCUS       "), F.col(locus), F.lit("\nFEATURES             Location/Qualifiers\n"))
+    df.select(F.concat(head, F.array_join(F.transform(features, entry), ""), F.lit("ORIGIN\n        1 "), F.lower(seq), F.lit("\n//")).alias("value")).write.text(path)
+
+
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """CSV or parquet, by suffix; anything else is refused."""
     kind = path.rstrip("/").rsplit(".", 1)[-1]
