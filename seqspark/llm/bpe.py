@@ -9,7 +9,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,12 +54,15 @@ class WordBpe:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
-        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}  # by word: ids joined by spaces, ids
-        self.pieces: dict[str | int, tuple[str, tuple[int, ...]]] = {}
+        self.known: dict[str, tuple[str, str, int]] = {}  # by word: ids joined by spaces, what they decode to, their number
+        self.pieces: dict[str | int, tuple[str, str, int]] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.pieces = {i: (str(i), (i,)) for i in self.added.values()}
+        self.pieces = {i: self.entry([i]) for i in self.added.values()}
+
+    def entry(self, ids: list[int]) -> tuple[str, str, int]:
+        return " ".join(map(str, ids)), self.decode(ids), len(ids)
 
     def parts(self, word: str) -> list[str | int]:
         """What a word without white space falls into: ids of added tokens, and pieces for the merges."""
@@ -131,20 +133,20 @@ class WordBpe:
         return [[x for x in ids[a:b] if x >= 0] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def learn(self, words: list[str]) -> None:
-        """Fill known for words: their ids joined by spaces, and their ids."""
+        """Fill known for words."""
         if len(self.pieces) > MOST_WORDS:
             self.clear()
         parts = [self.parts(w) for w in words]
         held = self.pieces
         if new := list(dict.fromkeys(p for row in parts for p in row if p not in held)):
             for piece, ids in zip(new, self.encode_pieces(new), strict=True):
-                held[piece] = (" ".join(map(str, ids)), tuple(ids))
+                held[piece] = self.entry(ids)
         for w, row in zip(words, parts, strict=True):
             if len(row) == 1:
                 self.known[w] = held[row[0]]
             else:
                 got = [held[p] for p in row]
-                self.known[w] = (" ".join([x[0] for x in got]), tuple(chain.from_iterable(x[1] for x in got)))
+                self.known[w] = (" ".join([x[0] for x in got]), " ".join([x[1] for x in got]), sum(x[2] for x in got))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, special tokens included: a file without a decoder joins tokens by spaces."""
@@ -155,8 +157,9 @@ class WordBpe:
             return [w for w in self.blank.split(text) if w]
         return text.split()
 
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], str]]:
-        """For each text its ids, and these as decimals joined by spaces."""
+    def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """For each text: the number of ids, the decimal ids joined by spaces, and what they decode to. As decode() joins tokens by
+        spaces, a text's ids decode to what its words' ids decode to, joined by spaces; words are decoded once."""
         rows = [self.words(t) if t else [] for t in texts]
         if len(self.known) > MOST_WORDS:
             self.known.clear()
@@ -168,8 +171,8 @@ class WordBpe:
                 gc.enable()
         out = []
         for row in rows:
-            got = [x for w in row if (x := self.known[w])[1]]
-            out.append((list(chain.from_iterable([x[1] for x in got])), " ".join([x[0] for x in got])))
+            got = [x for w in row if (x := self.known[w])[2]]
+            out.append((sum(x[2] for x in got), " ".join([x[0] for x in got]), " ".join([x[1] for x in got])))
         return out
 
 
@@ -199,15 +202,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
             texts = batch.column(1).to_pylist()
             for a, b in pieces(texts):
                 got = bpe.encode(texts[a:b])
-                decoded = [bpe.decode(ids) for ids, _ in got]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
-                        pa.array([len(ids) for ids, _ in got], pa.int64()),
-                        pa.array([ids if full else None for ids, _ in got], pa.list_(pa.int32())),
-                        pa.array([d if full else None for d in decoded], pa.string()),
-                        pa.array([hexed(x) for _, x in got], pa.string()),
-                        pa.array([hexed(d) for d in decoded], pa.string()),
+                        pa.array([x[0] for x in got], pa.int64()),
+                        pa.array([[int(i) for i in x[1].split()] if full else None for x in got], pa.list_(pa.int32())),
+                        pa.array([x[2] if full else None for x in got], pa.string()),
+                        pa.array([hexed(x[1]) for x in got], pa.string()),
+                        pa.array([hexed(x[2]) for x in got], pa.string()),
                     ],
                     names=["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"],
                 )
