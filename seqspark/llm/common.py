@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -73,10 +75,19 @@ def keeps(name: str, clear) -> None:
 
 
 def only(name: str) -> None:
-    """Empty what other operators have left in this worker: workers are used again, and stores of a whole pipeline would add up."""
+    """Empty what other operators have left in this worker, and give the memory back: workers are used again, and stores of a whole
+    pipeline would add up."""
+    if _STORES.get("") == name:
+        return
+    _STORES[""] = name
     for other, clear in _STORES.items():
-        if other != name:
+        if other not in ("", name):
             clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries have no such call
+        pass
 
 
 def pieces(values: list, size: int = PIECE_BYTES):

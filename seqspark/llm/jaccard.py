@@ -21,7 +21,7 @@ from .hashing import KNOWN, windows
 SHINGLE = 3
 PERCENT = 90
 #: Bytes of text whose shingles are packed together, and characters whose shingles a task keeps the lists of.
-CHUNK_BYTES, PART_CHARS = 16 << 20, 32 << 20
+CHUNK_BYTES, PART_CHARS = 8 << 20, 16 << 20
 #: Bytes of text, and documents, that a block holds before its group is cut into several.
 BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 1024
 #: Skew between a probe of a long list and a step of merging, as in the cost rule for the number of long lists.

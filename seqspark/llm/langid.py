@@ -22,7 +22,7 @@ HIDDEN = 12
 #: A text is read in stretches, both ways from some bytes beyond each: states at a position follow from MARGIN bytes on either side at least.
 STRETCH, MARGIN = 240, 24
 #: Stretches read at once; with more languages than WIDE fewer, which changes memory only.
-ROWS, WIDE = 2048, 16
+ROWS, WIDE = 1024, 16
 
 
 def has_letter(text: str | None) -> bool:

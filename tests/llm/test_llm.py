@@ -406,6 +406,7 @@ def test_bpe_equals_the_library(spark):
         ids = known.encode(t or "", add_special_tokens=False).ids
         text = known.decode(ids, skip_special_tokens=False)
         assert (got[i]["ids"], got[i]["decoded"], got[i]["n_tokens"]) == (ids, text, len(ids))
+        assert bpe.loaded(path).decode(ids) == text
         assert got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
