@@ -10,6 +10,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,8 @@ from .common import keeps, only, pieces, table
 
 #: Words kept with their ids in a Python worker; beyond that the store is emptied and filled anew.
 MOST_WORDS = 400_000
+#: Bytes of text that are encoded together: the pair index lies over their new words.
+TEXT_BYTES = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -200,13 +203,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
         bpe = loaded(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, TEXT_BYTES):
                 got = bpe.encode(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array([x[0] for x in got], pa.int64()),
-                        pa.array([[int(i) for i in x[1].split()] if full else None for x in got], pa.list_(pa.int32())),
+                        pa.array([np.fromstring(x[1], np.int32, sep=" ") if full else None for x in got], pa.list_(pa.int32())),
                         pa.array([x[2] if full else None for x in got], pa.string()),
                         pa.array([hexed(x[1]) for x in got], pa.string()),
                         pa.array([hexed(x[2]) for x in got], pa.string()),
