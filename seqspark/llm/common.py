@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,13 @@ def only(name: str) -> None:
     for other, clear in _STORES.items():
         if other not in ("", name):
             clear()
+    rest()
+
+
+def rest() -> None:
+    """Give memory back that this worker doesn't use: at the end of a task too, as it may idle through stages without Python."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # other C libraries have no such call

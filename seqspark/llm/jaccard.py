@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, hot_keys, met, only, settle, table
+from .common import components, hot_keys, met, only, rest, settle, table
 from .hashing import KNOWN, windows
 
 SHINGLE = 3
@@ -114,6 +114,8 @@ def inverted(rows: DataFrame, k: int, parts: int, detail: bool) -> DataFrame:
                 held += len(t or b"")
         if texts:
             yield _batch(_pack(ids, texts, key | seq, k, parts, detail))
+            ids, texts = [], []
+        rest()
 
     def merge_lists(group: pa.Table) -> pa.Table:
         through = group.filter(pa.compute.is_valid(group.column("place")))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, pieces, table
+from .common import only, pieces, rest, table
 
 UNKNOWN = "und"
 #: What the network is trained on: documents of each language at most, stretches of each document spread over its whole text.
@@ -228,17 +228,23 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     languages, parts = sample(learn)
     model = spark.sparkContext.broadcast((trained(languages, parts), languages))
 
+    # A kept text travels once.
+    sent = [F.col(doc_id).alias("_id"), out_.alias("_out"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]]
+    last = len(sent)
+    at = 2 + keep.index(text) if text in keep else last
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("langid")
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(at).to_pylist()
             for a, b in pieces(texts):
                 got = label(*model.value, texts[a:b])
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([x[0] for x in got]), pa.array([x[1] for x in got], pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array([x[0] for x in got]), pa.array([x[1] for x in got], pa.float64())], names=[*batch.schema.names[:last], "lang_pred", "score"])
+        rest()
 
-    taken = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("_id"), out_.alias("_out"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[1:])
+    taken = docs.select(*sent, *([] if text in keep else [F.col(text).alias("_text")]))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:last])
     done = taken.mapInArrow(run, f"{kinds}, lang_pred string, score double")
     return done.select(F.col("_id").alias("doc_id"), F.col("_out").alias("held_out"), "lang_pred", "score", *[F.col(f"_k{i}").alias(f"keep_{c}") for i, c in enumerate(keep)])
 
