@@ -14,6 +14,8 @@ from seqspark.llm.secrets import fresh, redact, scan
 
 #: Mean probability of the best language under which a document's language counts as not known.
 LEAST_SCORE = 0.3
+#: Words that a Python worker remembers while it encodes: few, as its executor has been through four stages.
+WORKER_WORDS = 80_000
 
 
 # Every stage keeps the columns of documents and any others, whatever their names, and gives no rows for an empty table.
@@ -50,7 +52,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text (none for null), and digests of ids and decoded text; all rows stay."""
-    return encode(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return encode(docs, tokenizer_path(), decoded=False, most_words=WORKER_WORDS).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("tokens", tokens)]

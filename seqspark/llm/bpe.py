@@ -8,16 +8,16 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import keeps, only, pieces, table
+from .common import keeps, only, pieces, rest, table
 
-#: Words kept with their ids in a Python worker; beyond that the store is emptied and filled anew.
-MOST_WORDS = 400_000
+#: Words in each of the two generations of a store in a Python worker; results don't depend on it.
+MOST_WORDS = 200_000
 #: Bytes of text that are encoded together: the pair index lies over their new words.
 TEXT_BYTES = 1 << 20
 
@@ -29,6 +29,31 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class Recent(dict):
+    """What was set or taken lately. A full generation becomes the older one, and what is in the one before that is forgotten unless
+    it was taken meanwhile: frequent words stay, words that come once go."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            dict.clear(self)
+
+    def missing(self, keys: Iterable) -> list:
+        """The distinct keys that aren't known; the others are held at least until the next turn but one."""
+        out, older = [], self.older
+        for k in dict.fromkeys(keys):
+            if k not in self:
+                if (x := older.get(k)) is not None:
+                    self[k] = x
+                else:
+                    out.append(k)
+        return out
+
+
 class WordBpe:
     """Encodes as a tokenizer file says whose words end in a marker (lower case, white space dropped, byte letters).
 
@@ -38,7 +63,7 @@ class WordBpe:
     don't touch each other, so this gives each word what a word-by-word encoder gives.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -57,12 +82,9 @@ class WordBpe:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
-        self.known: dict[str, tuple[str, str, int]] = {}  # by word: ids joined by spaces, what they decode to, their number
-        self.pieces: dict[str | int, tuple[str, str, int]] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.pieces = {i: self.entry([i]) for i in self.added.values()}
+        # By word or piece: ids joined by spaces, what they decode to, their number.
+        self.known, self.pieces = Recent(most_words), Recent(most_words)
+        self.special = {i: self.entry([i]) for i in self.added.values()}
 
     def entry(self, ids: list[int]) -> tuple[str, str, int]:
         return " ".join(map(str, ids)), self.decode(ids), len(ids)
@@ -137,19 +159,15 @@ class WordBpe:
 
     def learn(self, words: list[str]) -> None:
         """Fill known for words."""
-        if len(self.pieces) > MOST_WORDS:
-            self.clear()
+        held, special = self.pieces, self.special
+        held.turn()
         parts = [self.parts(w) for w in words]
-        held = self.pieces
-        if new := list(dict.fromkeys(p for row in parts for p in row if p not in held)):
+        if new := held.missing(p for row in parts for p in row if p not in special):
             for piece, ids in zip(new, self.encode_pieces(new), strict=True):
                 held[piece] = self.entry(ids)
         for w, row in zip(words, parts, strict=True):
-            if len(row) == 1:
-                self.known[w] = held[row[0]]
-            else:
-                got = [held[p] for p in row]
-                self.known[w] = (" ".join([x[0] for x in got]), " ".join([x[1] for x in got]), sum(x[2] for x in got))
+            got = [special[p] if p in special else held[p] for p in row]
+            self.known[w] = got[0] if len(got) == 1 else (" ".join([x[0] for x in got]), " ".join([x[1] for x in got]), sum(x[2] for x in got))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, special tokens included: a file without a decoder joins tokens by spaces."""
@@ -164,9 +182,8 @@ class WordBpe:
         """For each text: the number of ids, the decimal ids joined by spaces, and what they decode to. As decode() joins tokens by
         spaces, a text's ids decode to what its words' ids decode to, joined by spaces; words are decoded once."""
         rows = [self.words(t) if t else [] for t in texts]
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        if new := list({w: None for row in rows for w in row if w not in self.known}):
+        self.known.turn()
+        if new := self.known.missing(w for row in rows for w in row):
             gc.disable()  # millions of short lists live at once; none form cycles
             try:
                 self.learn(new)
@@ -179,28 +196,29 @@ class WordBpe:
         return out
 
 
-_LOADED: dict[str, WordBpe] = {}
+_LOADED: dict[tuple[str, int], WordBpe] = {}
 keeps("bpe", _LOADED.clear)
 
 
-def loaded(path: str) -> WordBpe:
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+def loaded(path: str, most_words: int = MOST_WORDS) -> WordBpe:
+    if (path, most_words) not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path, most_words] = WordBpe(path, most_words)
+    return _LOADED[path, most_words]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", full: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", full: bool = True, decoded: bool = True, most_words: int = MOST_WORDS) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded, ids_sha256, decoded_sha256), one row for each row of docs.
 
     Null and empty texts, and texts of white space, give no tokens and an empty decoded text. Whole texts are encoded,
     however long; repeated rows give repeated rows; an empty table gives none. decoded is the text of the ids; ids and decoded are
-    null unless full. path is that of the tokenizer file on every executor.
+    null unless full, decoded also where it isn't asked for. most_words bounds what a Python worker remembers, not the result. path is that of the tokenizer file on every executor.
     """
     hexed = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("bpe")
-        bpe = loaded(path)
+        bpe = loaded(path, most_words)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in pieces(texts, TEXT_BYTES):
@@ -210,12 +228,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
                         batch.column(0).slice(a, b - a),
                         pa.array([x[0] for x in got], pa.int64()),
                         pa.array([np.fromstring(x[1], np.int32, sep=" ") if full else None for x in got], pa.list_(pa.int32())),
-                        pa.array([x[2] if full else None for x in got], pa.string()),
+                        pa.array([x[2] if full and decoded else None for x in got], pa.string()),
                         pa.array([hexed(x[1]) for x in got], pa.string()),
                         pa.array([hexed(x[2]) for x in got], pa.string()),
                     ],
                     names=["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"],
                 )
+                got = None  # the next texts are encoded without these
+        rest()
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string, ids_sha256 string, decoded_sha256 string")
 
