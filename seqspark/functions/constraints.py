@@ -70,3 +70,42 @@ def warning_flags(pairs: Column, longest: int = 17) -> Column:
     spans = F.exists(pairs, lambda p: p["j"] - p["i"] > longest)
     empty = F.exists(pairs, lambda p: p["j"] - p["i"] == 1)
     return F.filter(F.array(F.when(spans, "long"), F.when(empty, "empty")), lambda x: x.isNotNull())
+
+
+def stems(structure: Column) -> Column:
+    """(i, j, n): runs of n stacked pairs of a dot-bracket structure; (i, j), 1-based, is the outermost pair of a run."""
+    pairs = base_pairs(structure)
+    first = F.filter(pairs, lambda p: ~F.exists(pairs, lambda q: (q["i"] == p["i"] - 1) & (q["j"] == p["j"] + 1)))
+    # Pairs are in the order of i, so one pass follows a run to its end.
+    run = lambda p: F.aggregate(pairs, F.lit(0), lambda n, q: F.when((q["i"] == p["i"] + n) & (q["j"] == p["j"] - n), n + 1).otherwise(n))
+    return F.transform(first, lambda p: F.struct(p["i"].alias("i"), p["j"].alias("j"), run(p).alias("n")))
+
+
+def stem_conflicts(structure: Column, homology: int) -> Column:
+    """The stems of at least homology pairs: they force repeats of that length. Empty: no conflict."""
+    return F.filter(stems(structure), lambda x: x["n"] >= homology)
+
+
+def kinetic_score(structure: Column) -> Column:
+    """(score, chance): the widest distance within a pair as a share of the length, and its power of -1.44 (1 without pairs); 0 and 1 of nothing."""
+    widest = F.coalesce(F.array_max(F.transform(base_pairs(structure), lambda p: p["j"] - p["i"])), F.lit(0))
+    return F.struct(F.coalesce(F.try_divide(widest, F.length(structure)), F.lit(0.0)).alias("score"), F.when(widest > 0, F.pow(widest, F.lit(-1.44))).otherwise(1.0).alias("chance"))
+
+
+def motifs_within(element: Column, left: Column, right: Column, motifs: Column) -> Column:
+    """The motifs that occur in an element between its neighbours, wholly or over an edge of it, but in neither neighbour alone."""
+    new = lambda m: (
+        F.contains(F.concat(F.right(left, F.length(m) - 1), element, F.left(right, F.length(m) - 1)), m)
+    )
+    return F.filter(motifs, new)
+
+
+def splittable(regions: Column, length: Column, most: int, span: int) -> Column:
+    """Whether fragments of at most `most` letters that overlap within variable regions (start, end; 0-based, in order) can cover a length.
+
+    The first region must begin, and the last end, within a fragment of the respective edge, with span letters to overlap in; a
+    fragment must reach over each gap, with span letters on both sides. Without regions nothing can be split."""
+    inner = F.slice(regions, 2, F.greatest(F.size(regions) - 1, F.lit(0)))
+    gaps = F.transform(inner, lambda r, k: r["start"] - F.element_at(regions, k + 1)["end"])
+    reached = (F.get(regions, 0)["start"] + span <= most) & F.forall(gaps, lambda g: g + 2 * span <= most) & (F.element_at(regions, -1)["end"] - span + most >= length)
+    return F.when(F.size(regions) > 0, reached).otherwise(F.lit(False))

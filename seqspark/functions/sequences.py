@@ -171,3 +171,26 @@ def spacing_penalty(distance: Column, best: int = 5) -> Column:
     low = F.lit(12.2) / F.pow(1 + F.exp(F.lit(2.5) * (d + 2)), F.lit(3.0))
     high = F.lit(0.048) * d * d + F.lit(0.24) * d
     return F.when(d < 0, low).when(d > 0, high).otherwise(F.lit(0.0))
+
+
+# Persistence lengths of dinucleotides (nm), stacking energies of DNA with DNA and of RNA with DNA (kcal/mol).
+PERSISTENCE = {"AA": 50.4, "AC": 55.4, "AG": 51.0, "AT": 40.9, "CA": 46.7, "CC": 41.7, "CG": 56.0, "CT": 51.0, "GA": 54.4, "GC": 44.6, "GG": 41.7, "GT": 55.4, "TA": 44.7, "TC": 54.4, "TG": 46.7, "TT": 50.4}
+DNA_STACKING = {"AA": -1.00, "AC": -1.44, "AG": -1.28, "AT": -0.88, "CA": -1.45, "CC": -1.42, "CG": -2.17, "CT": -1.28, "GA": -1.30, "GC": -2.24, "GG": -1.42, "GT": -1.44, "TA": -0.58, "TC": -1.30, "TG": -1.45, "TT": -1.00}
+RNA_STACKING = {"AA": -0.2, "AC": -1.6, "AG": -1.5, "AT": -0.6, "CA": -1.1, "CC": -2.9, "CG": -2.7, "CT": -1.3, "GA": -0.9, "GC": -1.7, "GG": -2.1, "GT": -0.9, "TA": -0.9, "TC": -1.8, "TG": -2.1, "TT": -1.0}
+
+
+def rigidity(s: Column) -> Column:
+    """Persistence lengths of the pieces of two letters for each letter; null without letters."""
+    return F.when(F.length(s) > 0, pair_sum(s, PERSISTENCE, step=2) / F.length(s))
+
+
+def bubble_energy(s: Column) -> Column:
+    """Energy of melting pieces of two letters; the published rule counts each twice."""
+    return 2 * pair_sum(s, DNA_STACKING, step=2)
+
+
+def hybrid_energies(s: Column, first: int = 15) -> Column:
+    """(dna, rna, hybrid): energies of the first letters in pieces of two: of DNA, of RNA with DNA, and their difference."""
+    head = F.substring(s, 1, first)
+    dna, rna = pair_sum(head, DNA_STACKING, step=2), pair_sum(head, RNA_STACKING, step=2)
+    return F.struct(dna.alias("dna"), rna.alias("rna"), (dna - rna).alias("hybrid"))

@@ -116,3 +116,21 @@ def make_parts(constraint: str, count: int, homology: int, accept: Callable[[str
             used |= set(own)
             out.append(part)
     return out
+
+
+def split_statistics(df: DataFrame, seq: Column, size: int, overlap: int) -> DataFrame:
+    """(i, least, n, melting, kinds): of each fragment over all rows its least length, how many rows have it, and the mean melting
+    temperature and number of different overlaps with the next fragment."""
+    step = size - overlap
+    each = df.select(F.length(seq).alias("_n"), seq.alias("_s"), F.inline(fragments(seq, size, overlap)))
+    shared = F.when(F.col("_n") >= (F.col("i") + 1) * step + overlap, F.substring("_s", (F.col("i") + 1) * step + 1, F.lit(overlap)))
+    each = each.select("i", F.length("piece").alias("n"), shared.alias("o"))
+    return each.groupBy("i").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("n"), F.avg(S.melting_temperature(F.col("o"))).alias("melting"), F.countDistinct("o").alias("kinds"))
+
+
+def sites_within(df: DataFrame, seq: Column, enzymes: list[tuple[str, str]]) -> DataFrame:
+    """df with a row for each enzyme (name, site) whose site the sequence holds: enzyme, forward and reverse places of the site."""
+    table = F.array(*[F.struct(F.lit(n).alias("enzyme"), F.lit(s).alias("site")) for n, s in enzymes])
+    each = df.withColumn("_e", F.explode(table)).withColumn("enzyme", F.col("_e.enzyme"))
+    out = each.withColumn("forward", S.places(seq, F.col("_e.site"))).withColumn("reverse", S.places(seq, S.reverse_complement(F.col("_e.site"))))
+    return out.drop("_e").where("size(forward) + size(reverse) > 0")

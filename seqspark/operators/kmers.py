@@ -57,3 +57,26 @@ def maximal_repeats(df: DataFrame, key: str, seq: Column, k: int) -> DataFrame:
     free = lambda c, end: (F.countDistinct(c) > 1) | (F.max(F.col(c) == end))
     out = rows.groupBy("kmer").agg(F.countDistinct(key).alias("n_rows"), F.count(F.lit(1)).alias("n"), free("before", "^").alias("left"), free("after", "$").alias("right"))
     return out.where("n > 1 AND left AND right").select("kmer", "n_rows", "n")
+
+
+def added(store: DataFrame, kmers: DataFrame) -> DataFrame:
+    """A store of k-mers, each once, with more of them."""
+    return store.select("kmer").unionByName(kmers.select("kmer")).distinct()
+
+
+def removed(store: DataFrame, kmers: DataFrame) -> DataFrame:
+    return store.join(kmers.select("kmer"), "kmer", "left_anti")
+
+
+def checked(store: DataFrame, kmers: DataFrame) -> DataFrame:
+    """kmers with known: whether the store has them."""
+    return kmers.join(store.select("kmer", F.lit(True).alias("known")), "kmer", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def capacity(parts: DataFrame, length: Column, wanted: Column, homology: int) -> DataFrame:
+    """(space, needed, enough): how many k-mers there are, strands alike, and how many the wanted numbers of parts may use up; a null
+    among wanted asks for any number, and needed is then null and never enough."""
+    each = F.when(length <= homology, F.lit(1)).otherwise((length - homology + 1) * wanted)
+    sums = parts.agg(F.coalesce(F.sum(each), F.lit(0)).cast("long").alias("needed"), F.coalesce(F.bool_or(wanted.isNull()), F.lit(False)).alias("endless"))
+    needed = F.when(~F.col("endless"), F.col("needed"))
+    return sums.select(F.lit(4**homology // 2).cast("long").alias("space"), needed.alias("needed"), F.coalesce(needed <= 4**homology // 2, F.lit(False)).alias("enough"))

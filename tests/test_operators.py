@@ -180,3 +180,60 @@ def test_fasta_fastq_and_genbank(spark, tmp_path):
     assert (r["locus"], r["kind"], r["start"], r["end"], r["label"], r["seq"]) == ("X1", "CDS", 1, 4, "p", "CGT")
     with pytest.raises(ValueError):
         files.read_table(spark, "x.pickle")
+
+
+def test_stems_against_plain_loops(spark):
+    from random import Random
+
+    from seqspark.functions import constraints as C
+
+    draw = Random(5)
+    rows = ["".join(draw.choice("((..))") for _ in range(draw.randrange(1, 40))) for _ in range(60)] + ["", "....", "((()))", None]
+
+    def pairs(s):
+        held, out = [], []
+        for i, c in enumerate(s, 1):
+            if c == "(":
+                held.append(i)
+            elif c == ")" and held:
+                out.append((held.pop(), i))
+        return sorted(out)
+
+    def stems(s):
+        known, out = set(pairs(s)), []
+        for i, j in sorted(known):
+            if (i - 1, j + 1) not in known:
+                n = 1
+                while (i + n, j - n) in known:
+                    n += 1
+                out.append((i, j, n))
+        return out
+
+    df = spark.createDataFrame([(s,) for s in rows], "s string").select("s", C.stems(F.col("s")).alias("t"), C.kinetic_score(F.col("s")).alias("k"))
+    for r in df.collect():
+        if r.s:
+            assert [tuple(x) for x in r.t] == stems(r.s), r.s
+            widest = max((j - i for i, j in pairs(r.s)), default=0)
+            assert r.k.score == widest / len(r.s) and r.k.chance == (widest**-1.44 if widest else 1.0)
+
+
+def test_capacity_and_stores(spark):
+    from seqspark.operators import kmers
+
+    parts = spark.createDataFrame([(12, 3), (4, 9), (7, None)], "n int, w int")
+    assert tuple(kmers.capacity(parts, F.col("n"), F.col("w"), 5).first()) == (512, None, False)
+    assert tuple(kmers.capacity(parts.where("w IS NOT NULL"), F.col("n"), F.col("w"), 5).first()) == (512, 25, True)
+    assert tuple(kmers.capacity(parts.limit(0), F.col("n"), F.col("w"), 5).first()) == (512, 0, True)
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "kmer string")
+    store = kmers.removed(kmers.added(words("AA", "AC", "AA"), words("AC", "GG")), words("AA"))
+    assert sorted(r.kmer for r in store.collect()) == ["AC", "GG"]
+    assert sorted(map(tuple, kmers.checked(store, words("GG", "TT")).collect())) == [("GG", True), ("TT", False)]
+
+
+def test_splittable_edges(spark):
+    from seqspark.functions import constraints as C
+
+    regions = "array<struct<start:int,end:int>>"
+    rows = [([(0, 20)], 30), ([(35, 60)], 80), ([(10, 30), (52, 60)], 80), ([(10, 20), (50, 70)], 90), ([], 10), ([(10, 20)], 51)]
+    df = spark.createDataFrame(rows, f"r {regions}, n int").select(C.splittable(F.col("r"), F.col("n"), 40, 10).alias("ok"))
+    assert [r.ok for r in df.collect()] == [True, False, False, False, False, False]
