@@ -214,7 +214,7 @@ def test_stems_against_plain_loops(spark):
         if r.s:
             assert [tuple(x) for x in r.t] == stems(r.s), r.s
             widest = max((j - i for i, j in pairs(r.s)), default=0)
-            assert r.k.score == widest / len(r.s) and r.k.chance == (widest**-1.44 if widest else 1.0)
+            assert r.k.score == widest / len(r.s) and r.k.chance == pytest.approx(widest**-1.44 if widest else 1.0, rel=1e-12)
 
 
 def test_capacity_and_stores(spark):
