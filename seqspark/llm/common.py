@@ -51,6 +51,13 @@ def sweep(spark: SparkSession) -> int:
     return n
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what scratch() has named, when nothing will read it again."""
+    _MADE.remove(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: its rows then outlive lost executors and aren't computed twice."""
     path = scratch(df.sparkSession, tag)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "bpe", "warc", "secrets", "quality", "substring", "jaccard", "embeddings", "ppm", "langid")
+MODULES = ("mixing", "bpe", "warc", "secrets", "quality", "substring", "jaccard", "embeddings", "ppm", "langid", "urls", "centroids", "codes")
 
 
 def _merged(name: str) -> dict:
