@@ -91,11 +91,12 @@ def edge_motifs(left: Column, right: Column, motifs: list[str]) -> Column:
 def read_filter(s: Column, least: int, most_unknown: int = 10, least_letters: int = 4, unknown: str = "N") -> Column:
     """Why a read is left out, the first reason that holds: ambiguous (too many unknown letters), short, ambiguous (too few
     different letters); otherwise ok."""
-    kinds = F.size(F.array_distinct(F.filter(F.split(s, "", -1), lambda c: c != "")))
+    # Taking out all letters equal to the first, once less than there must be letters, leaves some.
+    rest = F.aggregate(F.sequence(F.lit(1), F.lit(least_letters - 1)), s, lambda r, _: F.replace(r, F.left(r, F.lit(1)), F.lit("")))
     return (
         F.when(F.length(s) - F.length(F.replace(s, F.lit(unknown), F.lit(""))) > most_unknown, "ambiguous")
         .when(F.length(s) < least, "short")
-        .when(kinds < least_letters, "ambiguous")
+        .when(rest == "", "ambiguous")
         .otherwise("ok")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from .graphs import settled
 
 
 def exploded(df: DataFrame, key: str, seq: Column, k: int, form: str = "plain") -> DataFrame:
@@ -59,6 +60,62 @@ def maximal_repeats(df: DataFrame, key: str, seq: Column, k: int) -> DataFrame:
     return out.where("n > 1 AND left AND right").select("kmer", "n_rows", "n")
 
 
+#: Letters by which repeats that all go on alike are lengthened at once.
+AHEAD = 256
+
+
+def repeats(df: DataFrame, key: str, seq: Column, k: int, both: bool = True, ahead: int = AHEAD) -> DataFrame:
+    """(repeat, length, n_rows, n): all maximal repeats of k letters or more, direct ones and, if both, those with the other strand.
+
+    A repeat is a string found at two places or more (a place counts once, on whichever strand) that can be lengthened on neither
+    side: what precedes it differs between places or is an end of a row, and so does what follows. Of a repeat and its
+    reverse complement the lesser is given, with how many rows and places hold either. Null and shorter rows hold none; keys are unique.
+
+    Places of one string are a class, at first by k-mer. Each round lengthens classes: by all letters that the places of a
+    class have in common after it, ahead at most, or, if they part ways, by one letter into a class for each. Places
+    that are alone are dropped, so a round costs what is still repeated; rounds are written tables.
+    """
+    rows = df.select(F.col(key).alias("key"), seq.alias("s")).where(F.length("s") >= k).withColumn("strand", F.lit(0))
+    if both:
+        rows = rows.unionByName(rows.select("key", S.reverse_complement(F.col("s")).alias("s"), F.lit(1).alias("strand")))
+    rows = settled(rows)
+    parts = F.transform(F.sequence(F.lit(1), F.length("s") - k + 1), lambda i: F.struct(i.alias("at"), F.md5(F.substring("s", i, F.lit(k))).alias("of")))
+    now = _repeated(rows.select("key", "strand", F.explode(parts).alias("x")).select("key", "strand", "x.at", "x.of", F.lit(k).alias("length")))
+    found: list[DataFrame] = []
+    while not now.isEmpty():
+        end = F.col("at") + F.col("length")
+        ends = rows.select("key", "strand", "s").join(now, ["key", "strand"])
+        ends = settled(ends.select("key", "strand", "at", "of", "length", F.when(F.col("at") > 1, F.substring("s", F.col("at") - 1, F.lit(1))).otherwise("^").alias("before"), F.substring("s", end, F.lit(ahead)).alias("after"), F.when(F.col("strand") == 0, F.col("at")).otherwise(F.length("s") - end + 2).alias("place")))
+        one = ends.groupBy("of", "length").agg(
+            F.min("after").alias("a"), F.max("after").alias("b"), ((F.min("before") != F.max("before")) | (F.min("before") == "^")).alias("left"),
+            F.min(F.struct("key", "place")).alias("p"), F.max(F.struct("key", "place")).alias("q"), F.min(F.struct("key", "strand", "at")).alias("example"),
+        )
+        differs = F.filter(F.sequence(F.lit(1), F.least(F.length("a"), F.length("b")) + 1), lambda i: F.substring("a", i, F.lit(1)) != F.substring("b", i, F.lit(1)))
+        # The least and the greatest of what follows have in common what all have.
+        one = settled(one.withColumn("common", F.when(F.col("a") == F.col("b"), F.length("a")).otherwise(F.get(differs, 0) - 1)))
+        done = one.where("common = 0 AND left AND p <> q").select("of", "length", "example")
+        places = ends.join(done, ["of", "length"]).groupBy("of", "length", "example").agg(F.countDistinct("key").alias("n_rows"), F.countDistinct("key", "place").alias("n"))
+        found.append(places)
+        # What goes before all places of a class goes before all of the longer ones, too.
+        on = ends.join(one.where("left").select("of", "length", "common"), ["of", "length"]).withColumn("more", F.greatest("common", F.lit(1))).where("length(after) >= more")
+        now = _repeated(on.select("key", "strand", "at", F.md5(F.concat("of", F.substring("after", F.lit(1), F.col("more")))).alias("of"), (F.col("length") + F.col("more")).alias("length")))
+    empty = "repeat string, length int, n_rows long, n long"
+    if not found:
+        return df.sparkSession.createDataFrame([], empty)
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    texts = every.select("length", "n_rows", "n", "example.*").join(rows, ["key", "strand"])
+    out = texts.select(F.substring("s", F.col("at"), F.col("length")).alias("repeat"), "length", "n_rows", "n")
+    return out.where(F.col("repeat") <= S.reverse_complement(F.col("repeat"))) if both else out
+
+
+def _repeated(places: DataFrame) -> DataFrame:
+    """Those places whose class has another one, as a written table."""
+    held = settled(places)
+    return settled(held.join(held.groupBy("of").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("of"), "of", "left_semi"))
+
+
 def added(store: DataFrame, kmers: DataFrame) -> DataFrame:
     """A store of k-mers, each once, with more of them."""
     return store.select("kmer").unionByName(kmers.select("kmer")).distinct()

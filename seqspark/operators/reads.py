@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from . import fuzzy
+from .alignment import Associate, Element, extracted
 from .filters import read_filter
+from .graphs import settled
 
 
 def packed(reads: DataFrame, seq: str, least: int, most_unknown: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -50,6 +53,33 @@ def counted(packs: DataFrame, barcodes: DataFrame, anchor: str, prefix: str, suf
     return counts, marked.groupBy("outcome").agg(F.sum("freq").alias("n"))
 
 
+def counted_tuples(packs: DataFrame, elements: dict[str, Element], known: dict[str, DataFrame], associates: dict[str, Associate] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(name ..., n): how many reads hold each combination of ids, one column an element, '-' where a read has no known barcode of it; and
+    (outcome, n) for all reads. packs has (seq, freq), known[name] (id, barcode) and, for those with an associate, associate.
+
+    Reads are looked at once, for all elements together. Barcodes are looked up each once: equal ones by a join, the others within
+    the element's errors, where two that are as near give none. A read whose barcode is known but that doesn't hold the associate of its id isn't
+    counted. Repeated ids of one barcode count as one (the least); null reads have no anchor."""
+    associates = associates or {}
+    found = settled(extracted(packs.select("seq", "freq"), "seq", elements, associates))
+    for name, e in elements.items():
+        codes = found.select(F.col(name).alias("code")).where("code IS NOT NULL").distinct()
+        once = known[name].groupBy("barcode").agg(F.min_by(F.struct("*"), "id").alias("k")).select("k.*")
+        ids = fuzzy.lookup(codes, once, e.errors).select(F.col("code").alias(name), F.col("id").alias(f"{name}_id"))
+        if name in associates:
+            ids = ids.join(once.select(F.col("id").alias(f"{name}_id"), F.col("associate").alias(f"{name}_associate")), f"{name}_id")
+        found = found.join(ids, name, "left")
+    none = lambda suffix: F.coalesce(*[F.col(f"{n}{suffix}") for n in elements]).isNull()
+    wrong = F.lit(False)
+    for name, a in associates.items():
+        found = fuzzy.associate_matches(found, f"{name}_region", f"{name}_associate", a.errors).withColumnRenamed("matched", f"{name}_matched")
+        wrong = wrong | (F.col(f"{name}_id").isNotNull() & ~F.coalesce(f"{name}_matched", F.lit(False)))
+    some_id = F.coalesce(*[F.col(f"{n}_id").cast("string") for n in elements])
+    outcome = F.when(none("_read"), "no anchor").when(none(""), "no barcode").when(some_id.isNull(), "not mapped").when(wrong, "associate").otherwise("counted")
+    marked = settled(found.select("freq", outcome.alias("outcome"), *[F.coalesce(F.col(f"{n}_id").cast("string"), F.lit("-")).alias(n) for n in elements]))
+    return marked.where("outcome = 'counted'").groupBy(*elements).agg(F.sum("freq").alias("n")), marked.groupBy("outcome").agg(F.sum("freq").alias("n"))
+
+
 def filtered_by(df: DataFrame, callback, columns: list[str], preflight: int = 1000) -> DataFrame:
     """Rows for which a callback of pandas Series gives True. It is tried on a few rows first and must give booleans."""
     import pandas as pd

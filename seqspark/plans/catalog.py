@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES (name -> function of session and folder) and ORACLE (name -> SQL).
-GROUPS: tuple[str, ...] = ("filters", "windows", "joins", "statistics", "scoring", "more", "pipelines", "further", "feasible")
+GROUPS: tuple[str, ...] = ("filters", "windows", "joins", "statistics", "scoring", "more", "pipelines", "further", "feasible", "reading")
 
 
 def _merged(name: str) -> dict:

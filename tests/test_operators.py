@@ -237,3 +237,10 @@ def test_splittable_edges(spark):
     rows = [([(0, 20)], 30), ([(35, 60)], 80), ([(10, 30), (52, 60)], 80), ([(10, 20), (50, 70)], 90), ([], 10), ([(10, 20)], 51)]
     df = spark.createDataFrame(rows, f"r {regions}, n int").select(C.splittable(F.col("r"), F.col("n"), 40, 10).alias("ok"))
     assert [r.ok for r in df.collect()] == [True, False, False, False, False, False]
+
+
+def test_read_filter_counts_letters(spark):
+    rows = ["ACGT", "AACCGG", "ACGN", "ABCDEFG", "AAAAAAAAAAAA", "", None, "NNNNNNNNNNNACGT", "AAC" * 20_000, "AACG" * 20_000 + "T"]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in rows], "s string").select(filters.read_filter(F.col("s"), 3)).collect()]
+    want = ["ok" if s is None else "ambiguous" if s.count("N") > 10 else "short" if len(s) < 3 else "ambiguous" if len(set(s)) < 4 else "ok" for s in rows]
+    assert got == want
