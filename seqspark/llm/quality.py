@@ -20,11 +20,13 @@ COMMON_WORDS = {
 #: Classes of characters; what is in none counts as other. Order is that of the histograms.
 CHARACTER_CLASSES = (("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("point", r"[.,;:!?'\"()-]+"), ("symbol", r"[#*$%&|<>@=+/_~^\\\[\]{}]+"))
 
-#: (words at least, characters and common words at most this far from the reference): Jensen-Shannon distances with base 2, from 0
-#: to 1. A histogram of few words strays by chance, so shorter documents get more room, and the shortest aren't judged.
-GUARDS = ((50, 0.32, 1.0), (400, 0.25, 0.345))
-#: The same, for documents that are beyond both distances at once.
-BOTH = (100, 0.17, 0.34)
+#: (words at least, how far the characters may be from the reference): Jensen-Shannon distances with base 2, from 0 to 1.
+GUARDS = ((50, 0.32), (400, 0.25))
+#: (words at least, a, b, c): common words may be max(a, b + c / sqrt(words)) from the reference, as a histogram strays by chance by what shrinks
+#: with the root of its words. Only where the language is known: words of one language lie far from those of all together.
+WORD_GUARD = (100, 0.235, 0.08, 3.4)
+#: (words at least, characters, a, b, c): the same for documents that are beyond both distances at once.
+BOTH = (75, 0.125, 0.22, 0.1, 2.6)
 PUNCTUATION = ".,;:!?"
 
 
@@ -109,12 +111,13 @@ def references(rows: DataFrame, lang: str = "lang") -> DataFrame:
     return both.select("ref_lang", F.array(*[f"c{i}" for i in range(n_chars)]).alias("ref_chars"), F.array(*[f"w{i}" for i in range(n_words)]).alias("ref_commons"))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least_words: int = LEAST_WORDS, guards: tuple = GUARDS, both: tuple = BOTH) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least_words: int = LEAST_WORDS, guards: tuple = GUARDS, word_guard: tuple = WORD_GUARD, both: tuple = BOTH) -> DataFrame:
     """One row for each row of docs: doc_id, lang, the base features, base_failed, char_distance, word_distance, kept.
 
     The reference of a language is the histogram over all its documents; documents without a language are held against all.
     A document is kept unless base_failed, or it has the words of a guard and lies further from its reference than the guard
-    allows: by either distance, or for the last guard by both. Null and empty texts fail the base; an empty table gives no rows; repeated rows are judged alike and each count
+    allows: by the characters, by the common words (more room for fewer words), or by both at once. Without a language only the characters count.
+    Null and empty texts fail the base; an empty table gives no rows; repeated rows are judged alike and each count
     in the reference. Distances are null where there is nothing to compare, which is no reason to reject.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
@@ -126,11 +129,13 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     apart = lambda c: divergence(F.col(c), F.col(f"{c}_total"), F.col(f"ref_{c}"), F.col(f"ref_{c}_total"))
     near = near.select("*", apart("chars").alias("char_distance"), apart("commons").alias("word_distance"))
     near = near.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    chars, commons, n = F.coalesce("char_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0)), F.col("n_words")
     far = F.lit(False)
-    for words, most_chars, most_words in guards:
-        far = far | ((F.col("n_words") >= words) & ((F.coalesce("char_distance", F.lit(0.0)) > most_chars) | (F.coalesce("word_distance", F.lit(0.0)) > most_words)))
-    words, most_chars, most_words = both
-    far = far | ((F.col("n_words") >= words) & (F.coalesce("char_distance", F.lit(0.0)) > most_chars) & (F.coalesce("word_distance", F.lit(0.0)) > most_words))
+    for words, most in guards:
+        far = far | ((n >= words) & (chars > most))
+    room = lambda a, b, c: F.greatest(F.lit(a), F.lit(b) + F.lit(c) / F.sqrt(n))
+    known = ((n >= word_guard[0]) & (commons > room(*word_guard[1:]))) | ((n >= both[0]) & (chars > both[1]) & (commons > room(*both[2:])))
+    far = far | (F.col("lang").isNotNull() & known)
     return near.withColumn("kept", ~F.col("base_failed") & ~far).drop("ref_lang", *names, *[f"{c}_total" for c in names])
 
 
@@ -156,8 +161,10 @@ def _sql() -> str:
         f"(CASE WHEN {a}[i] > 0 THEN {a}[i] / list_sum({a}) * log2({a}[i] / list_sum({a}) / (({a}[i] / list_sum({a}) + {b}[i] / list_sum({b})) / 2)) ELSE 0.0 END) + "
         f"(CASE WHEN {b}[i] > 0 THEN {b}[i] / list_sum({b}) * log2({b}[i] / list_sum({b}) / (({a}[i] / list_sum({a}) + {b}[i] / list_sum({b})) / 2)) ELSE 0.0 END))) / 2)) END"
     )
-    far = " OR ".join(f"(n_words >= {n} AND (coalesce(cd, 0) > {c} OR coalesce(wd, 0) > {w}))" for n, c, w in GUARDS)
-    far += f" OR (n_words >= {BOTH[0]} AND coalesce(cd, 0) > {BOTH[1]} AND coalesce(wd, 0) > {BOTH[2]})"
+    room = lambda a, b, c: f"greatest({a}, {b} + {c} / sqrt(n_words))"
+    far = " OR ".join(f"(n_words >= {n} AND coalesce(cd, 0) > {c})" for n, c in GUARDS)
+    known = f"(n_words >= {WORD_GUARD[0]} AND coalesce(wd, 0) > {room(*WORD_GUARD[1:])}) OR (n_words >= {BOTH[0]} AND coalesce(cd, 0) > {BOTH[1]} AND coalesce(wd, 0) > {room(*BOTH[2:])})"
+    far += f" OR (lang IS NOT NULL AND ({known}))"
     sums = lambda e: ", ".join([f"sum(chars[{i}])" for i in range(1, n_chars + 1)]) if e == "c" else ", ".join(f"sum(commons[{i}])" for i in range(1, n_words + 1))
     return f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS body FROM documents),

@@ -113,6 +113,30 @@ def test_quality_rejects_symbols_and_keeps_prose(spark):
     assert not got[30] and all(got[i] for i in range(30) if i not in repeats)
 
 
+def test_quality_of_labelled_documents(spark):
+    """No labelled good document is lost; of the low-quality ones that pass the base those from 200 words on are rejected. Where the language
+    isn't known, documents aren't rejected for the words of one language."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    good = docs.join(labels.where("quality = 1"), "doc_id").where("n_chars > 2000").orderBy("doc_id").limit(30)
+    unknown = good.select((F.col("doc_id") + 10**9).alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"))
+    got = quality.judge(docs.select("doc_id", "text", "lang").unionByName(unknown)).select("doc_id", "n_words", "base_failed", "kept").join(labels, "doc_id", "left").collect()
+    passed = [r for r in got if not r["base_failed"]]
+    assert [r for r in passed if not r["kept"] and (r["quality"] == 1 or r["doc_id"] >= 10**9)] == []
+    low = [r["kept"] for r in passed if r["quality"] == 0 and r["n_words"] >= 200]
+    assert len(low) > 5 and sum(low) <= len(low) // 50
+
+
+def test_quality_guards_on_both_sides(spark):
+    """A histogram just within and just beyond each limit."""
+    base, n = {"base_failed": False}, 400
+    rows = spark.createDataFrame([(i, "the " * k + "stone river walking house " * ((n - k) // 4), "en") for i, k in enumerate(range(0, n + 1, 8))], "doc_id long, text string, lang string").withColumn("text", F.expr("array_join(transform(split(text, ' '), (w, i) -> concat(w, if(w = 'the', '', concat('', char(97 + i % 26), char(97 + i % 25))))), ' ')"))
+    got = quality.judge(rows, both=(10**9, 1, 1, 1, 1)).where("NOT base_failed").collect()
+    room = max(0.235, 0.08 + 3.4 / n**0.5)
+    assert base and got and {r["kept"] for r in got} == {True, False}
+    assert all(r["kept"] == (r["word_distance"] <= room and r["char_distance"] <= 0.25) for r in got if abs(r["n_words"] - n) <= 1)
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a/\n", "same"), (2, None, "same"), (9, "http://c", None), (7, "u", ""), (1, "v", "é" * 5000), (None, "w", "same"), (2, "x", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
