@@ -57,7 +57,8 @@ def test_repeats_without_any(spark):
     assert kmers.repeats(one, "id", F.col("s"), 4).collect() == []
     rows = strings(2)[2:]
     assert {tuple(r) for r in kmers.repeats(spark.createDataFrame(rows, "id int, s string"), "id", F.col("s"), 12, both=False).collect()} == plain_repeats(rows, 12, False)
-    long = "".join(random.Random(3).choice("ACGT") for _ in range(700))
+    rng = random.Random(3)
+    long = "".join(rng.choice("ACGT") for _ in range(700))
     got = kmers.repeats(spark.createDataFrame([(1, long), (2, long)], "id int, s string"), "id", F.col("s"), 300, both=False).collect()
     assert [(r["length"], r["n"]) for r in got] == [(700, 2)]
 
