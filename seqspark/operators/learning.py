@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -17,6 +18,17 @@ def forest(train: DataFrame, features: list[str], label: str, trees: int = 20, d
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)]).fit(train)
 
 
+def folds(df: DataFrame, key: str, n: int = 2, seed: int = 0) -> list[tuple[DataFrame, DataFrame]]:
+    """(the other folds, the fold) for each of n folds by a hash of key: rows with one key are in one fold, nulls too."""
+    at = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n))
+    return [(df.where(at != k), df.where(at == k)) for k in range(n)]
+
+
+def out_of_fold(df: DataFrame, key: str, use: Callable[[DataFrame, DataFrame], DataFrame], n: int = 2, seed: int = 0) -> DataFrame:
+    """What use(train, rest) gives for all rows, each as one of the rest: no row is scored by a model that has seen it or another of its key."""
+    return reduce(DataFrame.unionByName, [use(train, rest) for train, rest in folds(df, key, n, seed)])
+
+
 def chance(model, df: DataFrame, keep: list[str]) -> DataFrame:
     """(keep, prediction, chance of class 1)."""
     from pyspark.ml.functions import vector_to_array

@@ -69,21 +69,19 @@ _NAMES = ["n_chars", "symbols", "upper"]
 
 @query("l01_forest")
 def l01(t):
-    f = features(t)
-    return learning.chance(learning.forest(f, _NAMES, "quality"), f, ["doc_id"])
+    return learning.out_of_fold(features(t), "doc_id", lambda train, rest: learning.chance(learning.forest(train, _NAMES, "quality"), rest, ["doc_id"]))
 
 
 @query("l02_contributions")
 def l02(t):
-    f = features(t)
-    return learning.contributions(learning.forest(f, _NAMES, "quality"), f, "doc_id", _NAMES)
+    return learning.out_of_fold(features(t), "doc_id", lambda train, rest: learning.contributions(learning.forest(train, _NAMES, "quality"), rest, "doc_id", _NAMES))
 
 
 @query("l07_boosted_chain")
 def l07(t):
     rows = t.part.select("p_partkey", F.col("p_size").cast("double").alias("size"), F.length("p_name").cast("double").alias("name"), "p_retailprice", (F.col("p_size") % 7).cast("double").alias("mid"))
-    out = learning.boosted_chain(rows, rows, ["size", "name"], ["mid"], "p_retailprice")
-    return out.select("p_partkey", "guess_mid", "prediction")
+    use = lambda train, rest: learning.boosted_chain(train, rest, ["size", "name"], ["mid"], "p_retailprice").select("p_partkey", "guess_mid", "prediction")
+    return learning.out_of_fold(rows, "p_partkey", use)
 
 
 @query("l08_one_hot")
@@ -96,8 +94,7 @@ def l08(t):
 
 @query("l12_classifier_report")
 def l12(t):
-    f = features(t)
-    p = learning.chance(learning.forest(f, _NAMES, "quality"), f, ["doc_id", "quality"])
+    p = learning.out_of_fold(features(t), "doc_id", lambda train, rest: learning.chance(learning.forest(train, _NAMES, "quality"), rest, ["doc_id", "quality"]))
     scores = statistics.confusion_scores(p, F.col("quality") == 1, F.col("prediction") == 1)
     return scores.crossJoin(statistics.roc(p, "chance", F.col("quality") == 1))
 
@@ -132,8 +129,8 @@ def d12(t):
 
 @query("l05_permutation_importance")
 def l05(t):
-    f = features(t)
-    return t.spark.createDataFrame(learning.permutation_importance(learning.forest(f, _NAMES, "quality", 5, 4), f, _NAMES, "quality"), "feature string, loss double")
+    train, rest = learning.folds(features(t), "doc_id")[0]
+    return t.spark.createDataFrame(learning.permutation_importance(learning.forest(train, _NAMES, "quality", 5, 4), rest, _NAMES, "quality"), "feature string, loss double")
 
 
 QUERIES, ORACLE = group.queries, group.sql

@@ -69,3 +69,16 @@ def test_forest_search_and_importance(spark):
 def test_walk_meets_every_number_once(spark):
     assert sorted(r["n"] for r in design.walk(spark, 3).collect()) == list(range(64))
     assert spark.createDataFrame([(0,), (27,)], "n long").select(S.from_number(F.col("n"), 3)).collect()[1][0] == "GTC"
+
+
+def test_no_row_is_scored_by_a_model_that_saw_it(spark):
+    df = spark.createDataFrame([(i // 2 if i < 60 else None, float(i)) for i in range(70)], "k int, x double").repartition(3)
+    seen = []
+
+    def use(train, rest):
+        a, b = ({r["k"] for r in d.collect()} for d in (train, rest))
+        seen.append(a & b)
+        return rest
+
+    assert sorted(r["x"] for r in learning.out_of_fold(df, "k", use, 3).collect()) == [float(i) for i in range(70)] and seen == [set()] * 3
+    assert learning.out_of_fold(df.limit(0), "k", lambda train, rest: rest).collect() == []
