@@ -61,7 +61,9 @@ def counted_tuples(packs: DataFrame, elements: dict[str, Element], known: dict[s
     the element's errors, where two that are as near give none. A read whose barcode is known but that doesn't hold the associate of its id isn't
     counted. Repeated ids of one barcode count as one (the least); null reads have no anchor."""
     associates = associates or {}
-    found = settled(extracted(packs.select("seq", "freq"), "seq", elements, associates))
+    # Reads are small but cost much: left to their size, they would go to a few tasks.
+    tasks = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = settled(extracted(packs.select("seq", "freq").repartition(tasks), "seq", elements, associates))
     for name, e in elements.items():
         codes = found.select(F.col(name).alias("code")).where("code IS NOT NULL").distinct()
         once = known[name].groupBy("barcode").agg(F.min_by(F.struct("*"), "id").alias("k")).select("k.*")
