@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import only, pieces, rest, table
@@ -181,19 +181,25 @@ def stretches(text: str | None, most: int = SAMPLE_STRETCHES, length: int = LENG
 
 
 def sample(docs: DataFrame, most_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[tuple[str, bytes]]]:
-    """All languages of docs (text, lang, key), and stretches of a bounded sample of the documents of each."""
+    """All languages of docs (text, lang, key), and stretches of the texts with the most_docs least keys of each language.
+
+    Equal keys are one text however often it is repeated, so a language gives all its texts or most_docs different ones, whatever its
+    size. What reaches the driver is bounded by languages times most_docs."""
     some = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = some.groupBy("lang").count().collect()
-    rates = docs.sparkSession.createDataFrame([(r["lang"], int((1 << 20) * min(1.0, most_docs / r["count"]))) for r in counts], "lang string, rate long")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    chosen = some.select("lang", "key").distinct().withColumn("rank", rank).where(F.col("rank") <= most_docs).select("lang", "key").collect()
+    least = docs.sparkSession.createDataFrame(chosen, "lang string, key long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(lang, key, x) for t, lang, key in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in stretches(t)]
+            own = [(lang, key, i, x) for t, lang, key in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, x in enumerate(stretches(t))]
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["lang", "key", "part"])
+                kinds = (pa.string(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), kinds, strict=True)], names=["lang", "key", "i", "part"])
 
-    got = some.join(F.broadcast(rates), "lang").where(F.pmod("key", F.lit(1 << 20)) < F.col("rate")).select("text", "lang", "key").mapInArrow(run, "lang string, key long, part binary").toArrow()
-    return sorted(r["lang"] for r in counts), sorted(zip(got.column("lang").to_pylist(), got.column("part").to_pylist(), strict=True))
+    cut = some.join(F.broadcast(least), ["lang", "key"]).select("text", "lang", "key").mapInArrow(run, "lang string, key long, i int, part binary")
+    got = cut.groupBy("lang", "key", "i").agg(F.min("part").alias("part")).toArrow()
+    return sorted({r["lang"] for r in chosen}), sorted(zip(got.column("lang").to_pylist(), got.column("part").to_pylist(), strict=True))
 
 
 def trained(languages: list[str], parts: list[tuple[str, bytes]], most: int = SAMPLE_DOCS * SAMPLE_STRETCHES, seed: int = SEED) -> BiGru:
@@ -215,7 +221,7 @@ def trained(languages: list[str], parts: list[tuple[str, bytes]], most: int = SA
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", modulus: int = 4, held: int = 2, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) and the columns named in keep, one row for each row of docs.
 
-    Learns from text and lang of rows whose crc32(id as text) mod modulus isn't held, on a bounded sample by hash of id and text. Every
+    Learns from text and lang of rows whose crc32(id as text) mod modulus isn't held, on a bounded sample by hash of text, copies counted once. Every
     byte of every whole text, blanks and signs included, is labelled from both sides; a document's probabilities are the means over
     its bytes. Texts that are null or have no letter are und with score 0, and so are all if there is nothing to learn
     from. A null id counts as empty text; repeated rows give equal rows; an empty table gives none.
@@ -224,7 +230,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     keep = keep or []
     mark = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
     out_ = F.pmod(mark, F.lit(modulus)) == held
-    learn = docs.where(~out_).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id), F.col(text), F.lit(SEED)).alias("key"))
+    learn = docs.where(~out_).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(text), F.lit(SEED)).alias("key"))
     languages, parts = sample(learn)
     model = spark.sparkContext.broadcast((trained(languages, parts), languages))
 

@@ -389,6 +389,25 @@ def test_all_languages_are_learned(spark):
     assert all(any(got[d] == lang for d, _, lang in rows if lang == f"l{k}") for k in range(66, 70))
 
 
+def test_sample_takes_different_texts_however_often_they_are_repeated(spark):
+    rows = [(f"{lang}{k} " * 60, lang) for lang in ("aa", "bb") for k in range(9)]
+    docs = spark.createDataFrame(rows + rows[:1] * 500, "text string, lang string").repartition(5).select("text", "lang", F.xxhash64("text").alias("key"))
+    languages, parts = langid.sample(docs, most_docs=8)
+    assert languages == ["aa", "bb"] and parts == langid.sample(docs.distinct(), most_docs=8)[1]
+    assert Counter(lang for lang, _ in parts) == {"aa": 8 * langid.SAMPLE_STRETCHES, "bb": 8 * langid.SAMPLE_STRETCHES}
+    assert {x for lang, x in langid.sample(docs, most_docs=9)[1] if lang == "aa"} >= {t.encode()[: langid.LENGTH] for t, lang in rows if lang == "aa"}
+    assert langid.sample(docs.limit(0)) == ([], [])
+
+
+def test_labels_follow_the_network_in_plain_loops():
+    rng = np.random.default_rng(3)
+    net = langid.BiGru(3, np.arange(32, 127, dtype=np.uint8), seed=4)
+    texts = ["".join(map(chr, rng.integers(97, 123, n))) for n in (1, 7, 60, langid.STRETCH)]
+    for text, (lang, score) in zip(texts, langid.label(net, ["x", "y", "z"], texts), strict=True):
+        p = plain_forward(net, text.encode()).mean(0)
+        assert lang == "xyz"[p.argmax()] and abs(score - p.max()) < 1e-4
+
+
 def test_mix_targets_and_copies(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), source) for i, source in enumerate(["a"] * 300 + ["b"] * 40 + ["c"] * 500 + [None] * 60)] + [(5000, None, "a"), (5001, "", "zero")]
@@ -596,6 +615,15 @@ def test_pipeline_stages_take_odd_tables(spark):
     assert corpus.tokens(spark, df.limit(0), "").count() == 0 and corpus.tokens(spark, df, "").count() == len(rows)
 
 
+def test_pipeline_keeps_one_definite_row_of_an_id(spark):
+    corpus = pytest.importorskip("corpus_pipeline")
+    rows = [(7, "one text of id seven with words", "en", s, n) for s in ("b", "a") for n in (3, 2)] + [(7, f"another text {i} of it", "en", "c", i) for i in range(20)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("m", F.create_map(F.lit(1), F.col("text")))
+    got = [corpus.near_duplicates(spark, df.repartition(n), "").collect() for n in (1, 2, 7)]
+    least = df.orderBy(F.xxhash64("text"), "source", "n_chars").first()
+    assert all(g == [least] for g in got)
+
+
 def test_pipeline_drops_near_copies_of_five_words(spark):
     corpus = pytest.importorskip("corpus_pipeline")
     rng = random.Random(10)
