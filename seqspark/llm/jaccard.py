@@ -190,8 +190,9 @@ def shortest(rows: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
         order = np.lexsort((token, length, where_))
         token, where_ = token[order], where_[order]
         start = np.flatnonzero(np.concatenate(([True], where_[1:] != where_[:-1]))) if len(where_) else np.empty(0, np.int64)
+        end = np.append(start[1:], len(where_))[: len(start)]  # none where no document of the chunk has lists left
         out_id, out_list = [], [token[:0]]
-        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(where_)], strict=True):
+        for a, b in zip(start.tolist(), end.tolist(), strict=True):
             n = sizes[int(where_[a])]
             take = b - a - need(n, percent) + 1  # lists of one document stand before these
             if take > 0:
