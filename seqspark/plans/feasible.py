@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constraints as C
 from ..functions import sequences as S
-from ..operators import design, fuzzy, kmers
+from ..operators import cuts, design, fuzzy, kmers
 from .base import Group
 
 group = Group()
@@ -67,10 +67,38 @@ def f40(t):
     return t.part.select("p_partkey", C.splittable(F.array(region(x, x + 10), region(30 + y, 50 + y)), F.lit(100), 40, 10).alias("feasible"))
 
 
+# Two stretches of 32 letters that differ between parts, between three that all have in common.
+_COMMON = ("ACGTTGCAACGGTACCATGC", "GGATCCTTAGCA", "TTGACCTAGGCATGCAATCG")
+_VARIANT = f"v AS (SELECT p_partkey, '{_COMMON[0]}' || {DNA.format('p_partkey')} || '{_COMMON[1]}' || {DNA.format('p_partkey + 1000003')} || '{_COMMON[2]}' AS s FROM part)"
+
+
+def variants(t):
+    k = F.col("p_partkey")
+    return t.part.select("p_partkey", F.concat(F.lit(_COMMON[0]), S.derived_dna(k), F.lit(_COMMON[1]), S.derived_dna(k + 1000003), F.lit(_COMMON[2])).alias("s"))
+
+
+@query("a11_variable_regions", f"WITH {_VARIANT}, c AS (SELECT i, substr(s, i + 1, 1) AS c, count(*) AS n FROM (SELECT s, unnest(range(116)) AS i FROM v) GROUP BY ALL), e AS (SELECT i, -sum(n / t * log(n / t)) / log(4) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY i) AS t FROM c) GROUP BY 1), r AS (SELECT i, i - row_number() OVER (ORDER BY i) AS run FROM e WHERE e > 0.25) SELECT min(i)::INT AS start, max(i)::INT + 1 AS \"end\" FROM r GROUP BY run HAVING count(*) >= 15")
+def a11_regions(t):
+    return cuts.variable_regions(cuts.column_entropy(variants(t), "s"), 0, 15)
+
+
 _H = " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.NEAREST_ENTHALPY.items())
 _S = " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.NEAREST_ENTROPY.items())
 
 
+@query("n11_window_melting", f"WITH {_VARIANT}, p AS (SELECT p_partkey, j, sum(CASE substr(s, j, 2) {_H} END) OVER w AS h, sum(CASE substr(s, j, 2) {_S} END) OVER w AS e FROM (SELECT *, unnest(range(1, 116)) AS j FROM v) WINDOW w AS (PARTITION BY p_partkey ORDER BY j)), m AS (SELECT b.j + 1 AS q, w, min((b.h - coalesce(a.h, 0)) * 1000 / (b.e - coalesce(a.e, 0) + 0.368 * ln(0.05) * (w - 1) + 1.987 * ln(5e-8 / 4)) - 273.15) AS m FROM p b CROSS JOIN range(15, 19) x(w) LEFT JOIN p a ON a.p_partkey = b.p_partkey AND a.j = b.j - w + 1 WHERE b.j + 1 >= w GROUP BY 1, 2) SELECT q, w, round(m, 6) AS melting FROM m")
+def n11_melting(t):
+    return cuts.least_melting(variants(t), "s", 116, 15, 18).select("q", "w", F.round("melting", 6).alias("melting"))
+
+
+@query("d05_shared_split")
+def d05_shared(t):
+    split, status = cuts.split_shared(variants(t), "s", 60, 30.0, 2, 15, 25)
+    if split is None:
+        raise ValueError(status["reason"])
+    return split.select("p_partkey", F.posexplode("fragments").alias("i", "fragment"))
+
+
 @query("a39_split_statistics", f"WITH {PART}, f AS (SELECT p_partkey, i, substr(s, (i * 10 + 1)::INT, 20) AS piece, CASE WHEN i < 2 THEN substr(s, (i * 10 + 11)::INT, 10) END AS o FROM (SELECT *, unnest(range(3)) AS i FROM d)), m AS (SELECT p_partkey, i, sum(CASE substr(o, j, 2) {_H} END) * 1000 / (sum(CASE substr(o, j, 2) {_S} END) + 0.368 * ln(0.05) * 9 + 1.987 * ln(5e-8 / 4)) - 273.15 AS tm FROM (SELECT *, unnest(range(1, 10)) AS j FROM f WHERE o IS NOT NULL) GROUP BY 1, 2) SELECT i::INT AS i, min(length(piece))::INT AS least, count(*) AS n, round(avg(tm), 6) AS melting, count(DISTINCT o) AS kinds FROM f LEFT JOIN m USING (p_partkey, i) GROUP BY 1")
 def a39(t):
     return design.split_statistics(dna(t), F.col("s"), 20, 10).withColumn("melting", F.round("melting", 6))
